@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import mixing, pii, quality
-from tidewatch.llm.common import table
+from tidewatch.llm import mixing, pii, quality, token_files
+from tidewatch.llm.common import shared_dir, table
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,12 +20,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_files.token_digests(docs, f"{shared_dir(spark)}/{uuid.uuid4().hex}", public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_token_files": op4_token_files,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import mixing, pii, quality, token_files
+from tidewatch.llm import mixing, pieces, pii, quality, token_files
 from tidewatch.llm.common import shared_dir, table
 
 
@@ -25,6 +25,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(docs, f"{shared_dir(spark)}/{uuid.uuid4().hex}", public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
+    "op8_pieces": op8_pieces,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
 }

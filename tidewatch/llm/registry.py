@@ -8,10 +8,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import mixing, pieces, pii, quality, token_files
+from tidewatch.llm import mixing, near_dup, pieces, pii, quality, token_files
 from tidewatch.llm.common import shared_dir, table
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_dup": op2_near_dup,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
     "op8_pieces": op8_pieces,
@@ -42,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_near_dup": near_dup.ORACLE_SQL,
     "op3_quality_rules": quality.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
 }

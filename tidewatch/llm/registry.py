@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import mixing, near_dup, pieces, pii, quality, token_files
+from tidewatch.llm import langid, mixing, near_dup, pieces, pii, quality, token_files
 from tidewatch.llm.common import shared_dir, table
 
 
@@ -29,6 +29,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(docs, f"{shared_dir(spark)}/{uuid.uuid4().hex}", public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dup": op2_near_dup,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
+    "op5_language": op5_language,
     "op8_pieces": op8_pieces,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,

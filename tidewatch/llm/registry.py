@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import langid, mixing, near_dup, pieces, pii, quality, token_files
+from tidewatch.llm import langid, mixing, near_dup, pieces, pii, quality, token_files, toxicity
 from tidewatch.llm.common import shared_dir, table
 
 
@@ -33,6 +33,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
     "op5_language": op5_language,
+    "op6_toxicity": op6_toxicity,
     "op8_pieces": op8_pieces,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import langid, mixing, near_dup, pieces, pii, quality, token_files, toxicity
+from tidewatch.llm import langid, mixing, near_dup, pieces, pii, quality, token_files, toxicity, vector_search
 from tidewatch.llm.common import shared_dir, table
 
 
@@ -37,6 +37,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_language": op5_language,
     "op6_toxicity": op6_toxicity,
+    "op7_top_k": op7_top_k,
     "op8_pieces": op8_pieces,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
@@ -59,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_near_dup": near_dup.ORACLE_SQL,
     "op3_quality_rules": quality.ORACLE_SQL,
+    "op7_top_k": vector_search.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
 }

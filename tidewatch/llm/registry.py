@@ -8,10 +8,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import langid, mixing, near_dup, pieces, pii, quality, token_files, toxicity, vector_search
+from tidewatch.llm import langid, licences, mixing, near_dup, pieces, pii, quality, token_files, toxicity, vector_search
 from tidewatch.llm.common import shared_dir, table
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(table(spark, sf_dir, "documents"))
+
+
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licence_scan": op1_licence_scan,
     "op2_near_dup": op2_near_dup,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,

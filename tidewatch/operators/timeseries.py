@@ -108,13 +108,13 @@ def context_target_pairs(snapshots: DataFrame, value: str, context: int = 6, tar
     dates = snapshots.select("snapshot_date").distinct()
     numbered = dates.withColumn("i", F.dense_rank().over(Window.orderBy("snapshot_date")))
     s = snapshots.join(numbered, "snapshot_date").select("country", "i", F.col(value).alias("v"))
-    moved = s.select("country", "v", F.explode(F.sequence(F.lit(-target), F.lit(context - 1))).alias("o"), "i").withColumn("at", F.col("i") + F.col("o"))
+    moved = s.select("country", "v", F.explode(F.sequence(F.lit(-target), F.lit(context - 1))).alias("o"), "i").withColumn("step", F.col("i") + F.col("o"))
     at = lambda o: F.coalesce(F.max(F.when(F.col("o") == o, F.col("v"))), F.lit(0.0))
-    g = moved.groupBy("country", "at").agg(
+    g = moved.groupBy("country", "step").agg(
         *[at(context - 1 - k).alias(f"c{k + 1}") for k in range(context)], *[at(-k).alias(f"t{k}") for k in range(1, target + 1)],
         n_if((F.col("o") >= 0) & (F.col("v") != 0)).alias("nc"), n_if((F.col("o") < 0) & (F.col("v") != 0)).alias("nt"))
     last = dates.agg(F.count("*")).scalar()
-    g = g.filter((F.col("at") >= context) & (F.col("at") <= last - target))
+    g = g.filter((F.col("step") >= context) & (F.col("step") <= last - target))
     return g.filter((F.col("nc") >= min_context) & (F.col("nt") >= min_target)).drop("nc", "nt")
 
 

@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.llm.common import WORD, materialize
 
@@ -140,15 +141,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 keys.append(None), signatures.append(None), bands.append(None)
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            names=["doc", "n_shingles", "set_key", "signature", "bands"],
+            [b.column("doc"), b.column("text_key"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+            names=["doc", "text_key", "n_shingles", "set_key", "signature", "bands"],
         )
 
 
 def signed(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``doc`` (the ``keep`` columns) with set size, set key, signature and bands, and a row id; materialised."""
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col("text").alias("__text"))
-    schema = f"doc {d.schema['doc'].dataType.simpleString()}, {_SIGNED}"
+    """``doc`` (the ``keep`` columns) with a hash of the text, set size, set key, signature and bands, and a row id; materialised."""
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.xxhash64("text").alias("text_key"), F.col("text").alias("__text"))
+    schema = T.StructType([d.schema["doc"], d.schema["text_key"], *T.StructType.fromDDL(_SIGNED).fields])
     return materialize(d.mapInArrow(_sign, schema).withColumn("rid", F.monotonically_increasing_id()))
 
 
@@ -157,7 +158,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, keys, sets = [], [], []
         for node, key, text in zip(b.column("node").to_pylist(), b.column("set_key").to_pylist(), b.column("text").to_pylist()):
             s = shingles(text)
-            if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == key:  # else another row of the same doc_id
+            if len(s) and xxhash.xxh3_128_digest(s.tobytes()) == key:  # else another text of this doc_id and hash
                 nodes.append(node)
                 sets.append(s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
@@ -286,8 +287,8 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(rows: DataFrame) -> DataFrame:
     """One row per distinct set, with a node number; materialised."""
     c = rows.filter("n_shingles > 0").groupBy("set_key").agg(
-        F.min("doc.doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
-    return materialize(c.withColumn("node", F.monotonically_increasing_id()))
+        F.min(F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("rep"), "text_key")).alias("r"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    return materialize(c.select("set_key", "r.rep", "r.text_key", "n", "signature", "bands").withColumn("node", F.monotonically_increasing_id()))
 
 
 def class_links(groups: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -300,8 +301,9 @@ def class_links(groups: DataFrame, texts: DataFrame, percent: int = PERCENT) ->
     n_blocks = F.greatest(F.ceil(F.col("size") / BLOCK_MEMBERS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     once = materialize(once.select("band", "key", n_blocks.alias("blocks")))
     members = materialize(banded.join(once, ["band", "key"]).select("band", "key", "blocks", "node"))
-    need = members.select("node").distinct().join(groups.select("node", "set_key", "rep", "signature"), "node")
-    sets = texts.join(need.select("node", "set_key", F.col("rep").alias("doc_id")), "doc_id").select("node", "set_key", "text")
+    need = members.select("node").distinct().join(groups.select("node", "set_key", "rep", "text_key", "signature"), "node")
+    mine = texts.select("doc_id", "text", F.xxhash64("text").alias("k"))
+    sets = mine.join(need.select("node", "set_key", "rep", "text_key"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("k") == F.col("text_key"))).select("node", "set_key", "text")
     sets = sets.mapInArrow(_sets, "node long, shingles binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     units = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -313,7 +315,7 @@ def class_links(groups: DataFrame, texts: DataFrame, percent: int = PERCENT) ->
 
 
 def grouped(rows: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``rows`` (of ``signed``) with component_id."""
+    """``rows`` (of ``signed``) with group (one of its nodes; null without words) and component_id."""
     groups = classes(rows)
     edges = class_links(groups, texts, percent)
     named = groups.select("node", "set_key", "rep")
@@ -321,11 +323,11 @@ def grouped(rows: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFr
         roots = components(edges)
         named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-        named = materialize(named.join(least, "root").select("set_key", "component_id"))
+        named = materialize(named.join(least, "root").select("set_key", F.col("root").alias("group"), "component_id"))
     else:
-        named = named.select("set_key", F.col("rep").alias("component_id"))
-    empty = rows.filter("n_shingles = 0").withColumn("component_id", F.col("doc.doc_id"))
-    return rows.filter("n_shingles > 0").join(named, "set_key").select(*rows.columns, "component_id").unionByName(empty)
+        named = named.select("set_key", F.col("node").alias("group"), F.col("rep").alias("component_id"))
+    empty = rows.filter("n_shingles = 0").withColumn("group", F.lit(None).cast("long")).withColumn("component_id", F.col("doc.doc_id"))
+    return rows.filter("n_shingles > 0").join(named, "set_key").select(*rows.columns, "group", "component_id").unionByName(empty)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -342,7 +344,7 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     rows = signed(docs, docs.columns)
     g = grouped(rows, rows.select("doc.doc_id", "doc.text"), percent)
-    keep = g.filter("n_shingles > 0").groupBy("component_id").agg(F.min_by("rid", F.struct(F.col("doc.doc_id").isNull(), "doc.doc_id", "rid")).alias("rid"))
+    keep = g.filter("n_shingles > 0").groupBy("group").agg(F.min_by("rid", F.struct(F.col("doc.doc_id").isNull(), "doc.doc_id", "rid")).alias("rid"))
     kept = rows.filter("n_shingles > 0").join(keep.select("rid"), "rid", "left_semi").unionByName(rows.filter("n_shingles = 0"))
     return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 

@@ -28,7 +28,7 @@ METRICS = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length", "distin
 FENCES = {
     "symbol_rate": (False, True, 30),
     "dup_line_rate": (False, True, 400),
-    "repeat_rate": (False, True, 200),
+    "repeat_rate": (False, True, 300),
     "word_length": (True, True, 250),
     "distinct_rate": (True, False, 250),
 }

@@ -12,7 +12,7 @@ leaf, which is joined to the documents.
 
 Nulls and odd input: a null language, source or domain is a node of its own with the default weight; null text has no
 tokens; a null doc_id hashes as an empty string; rows of equal doc_id are taken or left together; documents without
-tokens are taken with the prefix that reaches them; an empty table gives an empty result. Extra columns are kept by
+tokens are taken in whole epochs and in a prefix that reaches them, and never if their leaf has no tokens at all; an empty table gives an empty result. Extra columns are kept by
 ``mixed_documents`` and may have any name. All sums are integers; rounding down leaves at most one token per node unused.
 """
 
@@ -43,7 +43,7 @@ class Mix:
     def weight(self, level: str) -> str:
         known = {"domain": self.domains, "lang": self.langs, "source": self.sources}[level]
         cases = "".join(f" WHEN '{k}' THEN {v}" for k, v in known.items())
-        return f"CAST(CASE {level}{cases} ELSE {self.default} END AS BIGINT)"
+        return f"CAST(CASE {level}{cases} ELSE {self.default} END AS BIGINT)" if known else f"CAST({self.default} AS BIGINT)"
 
 
 #: Four domains, by the last character of the source's name.
@@ -115,16 +115,16 @@ def plan(tokens: DataFrame, mix: Mix) -> DataFrame:
     upto = F.col("before") + F.sum("n").over(Window.partitionBy(*leaf).orderBy("key"))
     cut = last.withColumn("upto", upto).filter("upto <= rest").groupBy(*leaf).agg(F.max("key").alias("cut"))
     out = sized_join(sized_join(budgets, ends, leaf), materialize(cut), leaf)
-    return materialize(out.select(*leaf, "whole", "end_bucket", "cut"))
+    return materialize(out.select(*leaf, "whole", "rest", "end_bucket", "cut"))
 
 
 def chosen(rows: DataFrame, plans: DataFrame, mix: Mix) -> DataFrame:
     """``rows`` (with doc_id, domain, lang, source) once for each epoch that takes them, with ``epoch``."""
     r = sized_join(rows, plans, ["domain", "lang", "source"], "inner").withColumn("__k", _key("whole", mix))
-    more = F.expr(f"end_bucket IS NULL OR substring(__k, 1, {DIGITS}) < end_bucket OR __k <= cut")
+    more = F.expr(f"rest > 0 AND (substring(__k, 1, {DIGITS}) < end_bucket OR __k <= cut)")
     n = F.col("whole") + F.when(more, 1).otherwise(0)
     r = r.withColumn("epoch", F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))))
-    return r.drop("__k", "whole", "end_bucket", "cut")
+    return r.drop("__k", "whole", "rest", "end_bucket", "cut")
 
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix(), domain: str = DOMAIN) -> DataFrame:
@@ -165,7 +165,7 @@ plans as (select domain, lang, source, case when cap > 0 then take // (cap // {m
 keyed as (select t.*, whole, rest, md5('{mix.seed}:' || whole::bigint || ':' || coalesce(doc_id::varchar, '')) as key from tokens t join plans p
   on t.domain is not distinct from p.domain and t.lang is not distinct from p.lang and t.source is not distinct from p.source),
 sums as (select *, sum(n_tokens) over (partition by domain, lang, source order by key) as upto from keyed)
-select doc_id, domain, lang, source, n_tokens, unnest(range(0, (whole + case when upto <= rest then 1 else 0 end)::bigint)) as epoch from sums"""
+select doc_id, domain, lang, source, n_tokens, unnest(range(0, (whole + case when rest > 0 and upto <= rest then 1 else 0 end)::bigint)) as epoch from sums"""
 
 
 ORACLE_SQL = oracle_sql()

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import materialize, sized_join
+
 TRAIN_DOCS = 2000
 PROFILE = 400
 MAX_LANGS = 500
@@ -113,10 +115,10 @@ def remainder(column: str, modulus: int) -> Column:
 
 def learn(docs: DataFrame, size: int = PROFILE, train_docs: int = TRAIN_DOCS) -> dict[str, list[int]]:
     """Profiles by language from the documents that are not held out."""
-    rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 4) != HELD_OUT))
+    rows = docs.select("doc_id", "lang", "text").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 4) != HELD_OUT))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= train_docs)
-    sample = rows.join(ids.select("doc_id", F.col("lang").alias("of")), "doc_id").filter("lang = of")
+    sample = sized_join(rows, materialize(ids.select("doc_id", F.col("lang").alias("of"))), ["doc_id"], "inner").filter("lang = of")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

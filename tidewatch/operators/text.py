@@ -49,8 +49,8 @@ def retrieve(index: DataFrame, queries: DataFrame, key: str, query_key: str, tex
     """query_key, rank, key, similarity: cosine with plain query counts over the vocabulary; an inverted-index join on the term."""
     q = terms(queries, query_key, text).join(index.select("term").distinct(), "term", "left_semi")
     norm = q.groupBy(query_key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    q = q.join(norm, query_key).select(query_key, "term", (F.col("n") / (F.col("norm") + 1e-8)).alias("q"))
-    s = q.join(index, "term").groupBy(query_key, key).agg(r6(F.sum(F.col("q") * F.col("weight")), 4).alias("similarity"))
+    q = q.join(norm, query_key).select(query_key, "term", (F.col("n") / (F.col("norm") + 1e-8)).alias("__q"))
+    s = q.join(index, "term").groupBy(query_key, key).agg(r6(F.sum(F.col("__q") * F.col("weight")), 4).alias("similarity"))
     w = Window.partitionBy(query_key).orderBy(F.desc("similarity"), key)
     return s.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= k) & (F.col("similarity") >= min_sim)).select(query_key, "rank", key, "similarity")
 

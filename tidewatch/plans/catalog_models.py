@@ -415,7 +415,8 @@ def horizon_weighted_mse(spark, d):
 
 # --- network
 
-NORM_ADJ = """both_ as (select src, dst, max(weight) as weight from (select country_a as src, country_b as dst, weight from top_edges where weight >= 0.3 union all select country_b, country_a, weight from top_edges where weight >= 0.3) group by 1, 2
+NORM_ADJ = """both_ as (select src, dst, max(weight) as weight from (select country_a as src, country_b as dst, weight from top_edges where weight >= 0.3 union all select country_b, country_a, weight from top_edges where weight >= 0.3)
+  where src in (select country from latest) and dst in (select country from latest) group by 1, 2
   union all select country, country, 1.0 from latest),
 nadj as (select src, dst, weight / sum(weight) over (partition by src) as w from both_),
 enr as (select src as country, round(sum(w * risk_score) + 1e-9, 6) as n_risk_score from nadj join latest on latest.country = dst group by 1),

@@ -105,7 +105,7 @@ def read_feature_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true").option("pathGlobFilter", "*_features.parquet").parquet(path)
     date = F.try_to_date(F.substring(F.col("_metadata.file_name"), 1, 8), "yyyyMMdd")
-    pick = lambda i, n: F.coalesce(*[F.col(c) for c in (n, f"f{i}") if c in rows.columns]).cast("double").alias(n)
+    pick = lambda i, n: F.coalesce(*[F.col(c) for c in (n, f"f{i}") if c in rows.columns], F.lit(None)).cast("double").alias(n)
     return rows.select("country", date.alias("snapshot_date"), *[pick(i, n) for i, n in enumerate(SNAPSHOT_NAMES)])
 
 

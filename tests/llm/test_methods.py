@@ -323,8 +323,13 @@ def test_contexts_accept_shapes_of_seeds(spark):
     rows = [(i, f"paid with cardno {n} today") for i, n in enumerate(good)]
     rows.append((1000, f"paid with cardno {good[7] + 1} today"))
     rows.append((1001, f"the parcel {good[9] + 1} arrived"))
-    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
     assert got[1000].spans == "card:17:33" and got[1000].n_card == 0 and got[1000].n_added == 1 and got[1001].spans == ""
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    c.register("documents", docs.toPandas())
+    assert {r[0]: r[1:] for r in c.sql(pii.ORACLE_SQL).project("doc_id, spans, n_added").fetchall()} == {i: (r.spans, r.n_added) for i, r in got.items()}
 
 
 def test_redaction(spark):

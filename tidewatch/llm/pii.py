@@ -215,3 +215,54 @@ def redacted_documents(docs: DataFrame, rounds: int = ROUNDS, min_support: int =
     d = f.select("doc", clean.alias("clean"))
     new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
     return d.select(*[new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
+
+
+def oracle_sql(rounds: int = ROUNDS, min_support: int = MIN_SUPPORT) -> str:
+    """DuckDB SQL of ``personal_data`` over ``documents``; its patterns are the plain forms."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(0, len({digits})), lambda i: case when i % 2 = 0 then d_at(i) else 2 * d_at(i) - case when d_at(i) > 4 then 9 else 0 end end)) % 10 = 0"
+    luhn = luhn.replace("d_at(i)", f"substr({digits}, len({digits}) - i, 1)::int")
+    valid = {
+        "email": "true", "ip": "len(list_filter(string_split(v, '.'), lambda x: x::hugeint > 255)) = 0",
+        "card": f"len({digits}) between 13 and 19 and {luhn}", "phone": f"len({digits}) between 9 and 15",
+    }
+    spans = " union all ".join(
+        f"select rid, {k} as k, s, e from (select rid, m as v, sum(len(m) + len(g)) over (partition by rid order by i) as e, sum(len(m) + len(g)) over (partition by rid order by i) - len(m) as s "
+        f"from (select rid, unnest(regexp_extract_all(text, '{p}')) as m, unnest(string_split_regex(text, '{p}')[:-2]) as g, unnest(range(1, 1 + len(regexp_extract_all(text, '{p}')))) as i from t where regexp_matches(text, '{p}'))) where {valid[kind]}"
+        for k, (kind, p) in enumerate(plain.items()))
+    w = r"[^\x20\x09-\x0D]+"
+    steps, known = "", "seeds"
+    for r in range(rounds):
+        steps += f""",
+acc{r} as (select * from (select a.pattern, kind, n / (total + 1) as confidence from (select pattern, kind, count(*) as n from edges join {known} using (value) group by 1, 2 having count(*) >= {min_support}) a
+  join (select pattern, count(*) as total from edges group by 1) using (pattern)) where confidence >= {PATTERN_CONFIDENCE}),
+vote{r} as (select value, arg_max(kind, (c, -kind)) as kind from (select value, kind, 1 - exp(sum(ln(1 - confidence))) as c from edges join acc{r} using (pattern) group by 1, 2) where c >= {VALUE_CONFIDENCE} group by 1),
+known{r} as (select value, kind from seeds union all select value, kind from vote{r} where value not in (select value from seeds))"""
+        known = f"known{r}"
+    bare = lambda c: f"lower(regexp_replace(coalesce({c}, ''), '^[[:punct:]]+|[[:punct:]]+$', '', 'g'))"
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    said = lambda frm: f"select rid, string_agg({names}[k + 1] || ':' || s || ':' || e, ',' order by k, s, e) as said, count(*) as n from {frm} group by 1"
+    return f"""with t as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+base as ({spans}),
+words as (select rid, i, m, sum(len(m) + len(g)) over (partition by rid order by i) as e, regexp_matches(m, '[0-9@]') as c from (
+  select rid, unnest(regexp_extract_all(text, '{w}')) as m, unnest(string_split_regex(text, '{w}')[:-2]) as g, unnest(range(1, 1 + len(regexp_extract_all(text, '{w}')))) as i from t where regexp_matches(text, '{w}'))),
+near as (select *, case when not lag(c) over x then lag(m) over x end as l, case when not lead(c) over x then lead(m) over x end as r from words window x as (partition by rid order by i)),
+cand as (select rid, s, s + len(v) as e, lower(v) as value, l, r, regexp_replace(regexp_replace(lower(v), '\\p{{L}}+', 'a', 'g'), '[0-9]+', '0', 'g') as shape from (
+  select rid, e - len(m) + len(regexp_extract(m, '^[^\\p{{L}}0-9@+]*')) as s, regexp_replace(m, '^[^\\p{{L}}0-9@+]+|[^\\p{{L}}0-9]+$', '', 'g') as v, {bare('l')} as l, {bare('r')} as r from near where c) where len(v) between 5 and 64),
+marked as (select c.*, (select min(k) from base b where b.rid = c.rid and b.s < c.e and b.e > c.s) as k from cand c),
+occ as (select *, 'L ' || l || ' ' || shape as pattern from marked where l <> '' union all select *, 'R ' || r || ' ' || shape from marked where r <> ''
+  union all select *, 'B ' || l || ' ' || shape || ' ' || r from marked where l <> '' and r <> ''),
+alledges as (select pattern, value, min(k) as k from occ group by 1, 2),
+seeds as (select value, min(k) as kind from alledges where k is not null group by 1),
+edges as (select pattern, value from alledges where pattern in (select pattern from alledges where k is not null group by 1 having count(*) >= {min_support})){steps},
+spans as (select rid, k, s, e from base union all select distinct rid, kind, s, e from occ join acc{rounds - 1} using (pattern) join {known} using (value, kind) where k is null),
+b as ({said('base')}), a as ({said('spans')})
+select doc_id, {", ".join(f"(select count(*) from base x where x.rid = t.rid and k = {i}) as n_{k}" for i, k in enumerate(KINDS))}, sha256(coalesce(b.said, '')) as base_sha256,
+  coalesce(a.said, '') as spans, coalesce(a.n, 0) - coalesce(b.n, 0) as n_added from t left join b using (rid) left join a using (rid)"""
+
+
+ORACLE_SQL = oracle_sql()

@@ -70,5 +70,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_near_dup": near_dup.ORACLE_SQL,
     "op3_quality_rules": quality.ORACLE_SQL,
     "op7_top_k": vector_search.ORACLE_SQL,
+    "op9_pii": pii.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
 }

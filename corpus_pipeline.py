@@ -35,9 +35,8 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and piece_ids of each text, with the text that they decode to."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = pieces.encoded_documents(docs.select("doc_id", "lang", "source", "text"), model)
-    return pieces.decoded_documents(encoded, model).select("doc_id", "lang", "source", "piece_ids", "decoded")
+    texts = docs.select("doc_id", "lang", "source", "text")
+    return pieces.encoded_documents(texts, public_tokenizers.path("piece_bpe_32k.model"), with_decoded=True).drop("text")
 
 
 STAGES = [

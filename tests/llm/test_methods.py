@@ -10,7 +10,6 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewatch.llm import langid, licences, mixing, near_dup, pieces, pii, quality, registry, token_files, toxicity, vector_search
@@ -280,6 +279,13 @@ def test_pieces_equal_the_library(texts):
     assert all(p.decode(f) == t.replace("▁", " ") for f, t in zip(found, every))
 
 
+def test_encoding_and_decoding_frames(documents):
+    both = pieces.encoded_documents(documents, SP, with_decoded=True)
+    assert both.filter("decoded <> text or size(piece_ids) = 0").count() == 0
+    apart = pieces.decoded_documents(pieces.encoded_documents(documents, SP), SP)
+    assert apart.exceptAll(both).count() == 0 and apart.count() == documents.count()
+
+
 # 9
 
 

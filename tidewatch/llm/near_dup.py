@@ -53,7 +53,7 @@ class _Hashes(dict):
     """64-bit hash of each word, kept while there is room."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 250_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h

@@ -26,13 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
 BLOCK_CHARS = 4_000_000
-CACHE_WORDS = 800_000
-CACHE_PAIRS = 2_000_000
+CACHE_WORDS = 600_000
+CACHE_PAIRS = 500_000
 _CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -143,7 +144,7 @@ def pieces(path: str) -> Pieces:
 
 def blocks(batch: pa.RecordBatch, limit: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose texts have about ``limit`` characters at most, one row at least."""
-    sizes = [len(t) if t else 0 for t in batch.column("text").to_pylist()]
+    sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:
@@ -154,26 +155,34 @@ def blocks(batch: pa.RecordBatch, limit: int = BLOCK_CHARS) -> Iterator[pa.Recor
         yield batch.slice(start)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, with_decoded: bool) -> Iterator[pa.RecordBatch]:
     p = pieces(path)
     for batch in batches:
         for b in blocks(batch):
             raw = p.encode(b.column("text").to_pylist())
+            columns, names = [b.column(c) for c in b.schema.names], [*b.schema.names, "piece_ids"]
             ends = np.concatenate(([0], np.cumsum([len(r) // 2 for r in raw])))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<u2").astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in b.schema.names], ids], names=[*b.schema.names, "piece_ids"])
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<u2").astype(np.int32))))
+            if with_decoded:
+                columns.append(pa.array([p.decode(np.frombuffer(r, "<u2")) for r in raw], pa.string()))
+                names.append("decoded")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def encoded_documents(docs: DataFrame, model: str) -> DataFrame:
-    """``docs`` with ``piece_ids``."""
-    d = docs.drop("piece_ids")
-    return d.mapInArrow(lambda batches: _encoded(batches, model), d.select("*", F.lit(None).cast("array<int>").alias("piece_ids")).schema)
+def encoded_documents(docs: DataFrame, model: str, with_decoded: bool = False) -> DataFrame:
+    """``docs`` with ``piece_ids`` and, if asked for, with the text that they stand for in ``decoded``, in one pass."""
+    new = {"piece_ids": F.lit(None).cast("array<int>")} | ({"decoded": F.lit("")} if with_decoded else {})
+    d = docs.drop(*new)
+    return d.mapInArrow(lambda batches: _encoded(batches, model, with_decoded), d.select("*", *[v.alias(k) for k, v in new.items()]).schema)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     p = pieces(path)
     for b in batches:
-        decoded = [p.decode(np.array(x, np.int64)) if x else "" for x in b.column("piece_ids").to_pylist()]
+        ids = b.column("piece_ids")
+        flat = ids.values.to_numpy(zero_copy_only=False)
+        spans = zip(ids.offsets.to_pylist(), ids.offsets.to_pylist()[1:])
+        decoded = [p.decode(flat[a:z]) for a, z in spans]
         yield pa.RecordBatch.from_arrays([*[b.column(c) for c in b.schema.names], pa.array(decoded, pa.string())], names=[*b.schema.names, "decoded"])
 
 

@@ -23,7 +23,6 @@ empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import let, materialize, text_or_empty
+from tidewatch.llm.common import let, materialize, sized_join, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -172,7 +172,7 @@ def find(docs: DataFrame, keep: list[str], rounds: int = ROUNDS, min_support: in
     s = materialize(scan(docs, keep).withColumn("rid", F.monotonically_increasing_id()))
     extra = discover(s.select("rid", "found"), rounds, min_support).groupBy("rid").agg(F.collect_list(F.struct("k", "s", "e")).alias("extra"))
     none = F.array().cast("array<struct<k:int,s:int,e:int>>")
-    return s.join(extra, "rid", "left").select("doc", "base", F.sort_array(F.concat("base", F.coalesce("extra", none))).alias("spans"))
+    return sized_join(s, materialize(extra), ["rid"]).select("doc", "base", F.sort_array(F.concat("base", F.coalesce("extra", none))).alias("spans"))
 
 
 def _said(spans: str) -> Column:

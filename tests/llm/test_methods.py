@@ -128,6 +128,17 @@ def test_quality_keeps_good_and_drops_bad(spark):
     assert n.get((1, False), 0) == 0 and n.get((0, True), 0) <= 0.1 * n[0, False]
 
 
+def test_filter_keeps_long_clean_documents(spark):
+    # distinct words over words falls with length: all words of 20,000 come from 3,008
+    rng = random.Random(8)
+    words = [rng.choice(("the", "of", "and", "to", "a", "in", "it", "is")) if rng.random() < 0.2 else f"w{rng.randrange(3000)}" for _ in range(200_000)]
+    made = [(i, " ".join(words[300 * i : 300 * i + 100 + i % 150]), "en", "s") for i in range(300)]
+    made += [(1000, " ".join(words[:20_000]), "en", "s"), (1001, " ".join(f"w{rng.randrange(12)}" for _ in range(400)), "en", "s")]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality.quality_filter(docs).collect()}
+    assert kept == {*range(300), 1000}
+
+
 def test_sketches_merge(spark):
     docs = spark.createDataFrame([(i, " ".join(["w" * (1 + i % 9)] * (20 + i)), "en", f"s{i % 2}") for i in range(200)], "doc_id long, text string, lang string, source string")
     m = quality.with_metrics(docs).select("doc.lang", "doc.source", *quality.METRICS)

@@ -13,6 +13,8 @@ are ignored by ``quality_verdicts`` and kept by ``quality_filter``; their names
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,10 @@ FENCES = {
     "word_length": (True, True, 250),
     "distinct_rate": (True, False, 250),
 }
+#: Of ``quality_filter``: the share of distinct words is taken in blocks of BLOCK words, so that long texts are judged as
+#: short ones are. The query's metrics, fences and SQL are those of METRICS and FENCES.
+BLOCK = 100
+FILTER_FENCES = {m: f for m, f in FENCES.items() if m != "distinct_rate"} | {"block_distinct_rate": FENCES["distinct_rate"]}
 SPREADS = 3
 MIN_DOCS = 100
 MIN_WORDS = 20
@@ -53,6 +59,16 @@ def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(let(let(pairs, twice), covered))
 
 
+def block_distinct_rate(words: Column, block: int = BLOCK) -> Column:
+    """Mean distinct words per thousand over the text's blocks; the last block overlaps the one before so as to be full."""
+    n = F.size(words)
+    distinct = lambda first, length: F.size(F.array_distinct(F.slice(words, first, length)))
+    starts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: F.least(b * block, n - block) + 1)
+    sums = F.aggregate(starts, F.lit(0).cast("long"), lambda a, first: a + distinct(first, F.lit(block)))
+    whole = F.floor(1000 * F.size(F.array_distinct(words)) / F.greatest(n, F.lit(1)))
+    return F.when(n <= block, whole).otherwise(F.floor(1000 * sums / (block * F.ceil(n / block)))).cast("long")
+
+
 def with_metrics(docs: DataFrame) -> DataFrame:
     """``doc`` (all columns of ``docs`` as one struct), the contract's counts and the metrics, one row per row of ``docs``."""
     text = text_or_empty("doc.text")
@@ -70,11 +86,12 @@ def with_metrics(docs: DataFrame) -> DataFrame:
         windows.alias("windows"),
         lines.alias("lines"),
         F.size(F.array_distinct("wh")).cast("long").alias("n_distinct"),
+        block_distinct_rate(F.col("wh")).alias("block_distinct_rate"),
         F.length(F.translate(text, SPACE, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
     d = d.select(
-        "doc", "n_words", "n_distinct", "word_chars", "n_symbols",
+        "doc", "n_words", "n_distinct", "block_distinct_rate", "word_chars", "n_symbols",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("windows")).alias("n_repeat_words"),
@@ -88,14 +105,15 @@ def with_metrics(docs: DataFrame) -> DataFrame:
         rate("n_repeat_words", "n_words", 1000).alias("repeat_rate"),
         rate("word_chars", "n_words", 100).alias("word_length"),
         rate("n_distinct", "n_words", 1000).alias("distinct_rate"),
+        "block_distinct_rate",
     )
 
 
-def sketch(metrics: DataFrame, keys: list[str]) -> DataFrame:
+def sketch(metrics: DataFrame, keys: list[str], names: Iterable[str] = METRICS) -> DataFrame:
     """Mergeable quantile sketches: keys, metric, bin, n. Values below 64 have a bin each."""
     bits = "length(bin(value))"
-    stacked = ", ".join(f"'{m}', {m}" for m in METRICS)
-    long = metrics.select(*keys, F.expr(f"stack({len(METRICS)}, {stacked}) AS (metric, value)"))
+    stacked = ", ".join(f"'{m}', {m}" for m in names)
+    long = metrics.select(*keys, F.expr(f"stack({len(list(names))}, {stacked}) AS (metric, value)"))
     bin_ = F.expr(f"CASE WHEN value < 64 THEN value ELSE ({bits} - 6) * 64 + shiftright(value, {bits} - 6) END").cast("long")
     return long.groupBy(*keys, "metric", bin_.alias("bin")).agg(F.count("*").alias("n"))
 
@@ -121,9 +139,9 @@ def quantiles(sketches: DataFrame, keys: list[str], percents=(10, 50, 90)) -> Da
     )
 
 
-def thresholds(metrics: DataFrame, min_docs: int = MIN_DOCS, spreads: int = SPREADS) -> DataFrame:
+def thresholds(metrics: DataFrame, min_docs: int = MIN_DOCS, spreads: int = SPREADS, fences: dict = FENCES) -> DataFrame:
     """lang, source and, for each metric, its lower and upper fence (null: none)."""
-    by_source = materialize(sketch(metrics, ["lang", "source"]))
+    by_source = materialize(sketch(metrics, ["lang", "source"], list(fences)))
     by_lang = merge(by_source, ["lang"])
     q = [quantiles(by_source, ["lang", "source"]), quantiles(by_lang, ["lang"]), quantiles(merge(by_lang, []), [])]
     q = [x.select(*[c for c in x.columns if c not in ("total", "q10", "q50", "q90")], F.struct("total", "q10", "q50", "q90").alias(f"s{i}")) for i, x in enumerate(q)]
@@ -131,7 +149,7 @@ def thresholds(metrics: DataFrame, min_docs: int = MIN_DOCS, spreads: int = SPRE
     s = s.join(q[2], "metric")
     s = s.withColumn("s", F.when(F.col("s0.total") >= min_docs, F.col("s0")).when(F.col("s1.total") >= min_docs, F.col("s1")).otherwise(F.col("s2")))
     out = []
-    for m, (low, high, least) in FENCES.items():
+    for m, (low, high, least) in fences.items():
         here = F.col("metric") == m
         if low:
             out.append(F.max(F.when(here, F.col("s.q50") - F.greatest(spreads * (F.col("s.q90") - F.col("s.q50")), F.lit(least)))).alias(f"{m}_low"))
@@ -140,11 +158,11 @@ def thresholds(metrics: DataFrame, min_docs: int = MIN_DOCS, spreads: int = SPRE
     return s.groupBy("lang", "source").agg(*out)
 
 
-def judged(metrics: DataFrame, min_docs: int = MIN_DOCS, spreads: int = SPREADS) -> DataFrame:
+def judged(metrics: DataFrame, min_docs: int = MIN_DOCS, spreads: int = SPREADS, fences: dict = FENCES) -> DataFrame:
     """``metrics`` (read twice: give a materialised frame with lang and source) with ``kept``."""
-    limits = materialize(thresholds(metrics, min_docs, spreads))
+    limits = materialize(thresholds(metrics, min_docs, spreads, fences))
     good = ~F.col("base_failed")
-    for m, (low, high, _) in FENCES.items():
+    for m, (low, high, _) in fences.items():
         good = good & (F.col(m) >= F.col(f"{m}_low")) if low else good
         good = good & (F.col(m) <= F.col(f"{m}_high")) if high else good
     joined = sized_join(metrics, limits, ["lang", "source"])
@@ -163,8 +181,8 @@ _OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 
 def quality_filter(docs: DataFrame, min_docs: int = MIN_DOCS, spreads: int = SPREADS) -> DataFrame:
     """The rows of ``docs`` that pass, with the columns of ``docs``."""
-    m = with_metrics(docs).select("doc", F.col("doc.lang").alias("lang"), F.col("doc.source").alias("source"), "base_failed", *METRICS)
-    kept = judged(materialize(m), min_docs, spreads).filter("kept")
+    m = with_metrics(docs).select("doc", F.col("doc.lang").alias("lang"), F.col("doc.source").alias("source"), "base_failed", *FILTER_FENCES)
+    kept = judged(materialize(m), min_docs, spreads, FILTER_FENCES).filter("kept")
     return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 

@@ -349,6 +349,19 @@ def test_contexts_accept_shapes_of_seeds(spark):
     assert {r[0]: r[1:] for r in c.sql(pii.ORACLE_SQL).project("doc_id, spans, n_added").fetchall()} == {i: (r.spans, r.n_added) for i, r in got.items()}
 
 
+def test_contexts_learn_from_what_contexts_found(spark):
+    # numbers found after "cardno" teach "ref ... over", which has two seeds only; what that finds teaches "seen ... there"
+    card = lambda n: n + (10 - sum((d := int(c) * (2 - i % 2)) - 9 * (d > 9) for i, c in enumerate(str(n)[:-1])) % 10) % 10
+    good = [card(4000000000000000 + 10 * i) for i in range(190)]
+    bad = [n + 1 + n % 10 // 9 * -2 for n in good]
+    texts = [f"paid with cardno {n} today" for n in good[:180] + bad[:40]]
+    texts += [f"ref {n} over" for n in good[:2] + bad[:48]]
+    texts += [f"seen {n} there" for n in bad[40:49]] + [f"parcel {bad[60]} came"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_added for r in pii.personal_data(docs).collect()}
+    assert [got[i] for i, x in enumerate(texts)] == [int(any(str(n) in x for n in bad[:49])) for x in texts]
+
+
 def test_redaction(spark):
     t = "x a@b.example.com y 10.0.0.1 z"
     r = pii.redacted_documents(spark.createDataFrame([(1, t, 0)], "doc_id long, text string, n_chars long")).first()

@@ -2,7 +2,7 @@
 
 Base entities (email, ip, card, phone) seed the search. Candidates are words with a digit or an at sign. Lexical
 patterns are a candidate's shape with the word before it, with the word after it, and with both. Patterns and candidate
-values form a graph that Spark scores in rounds: a pattern's confidence in a kind is the share of its distinct values
+values form a graph that Spark scores in rounds, until none finds a new value: a pattern's confidence in a kind is the share of its distinct values
 that are known to be of the kind, and a value's confidence is the noisy-or over its accepted patterns. Values above the
 bar join the known ones; in the end every occurrence in an accepted pattern with a known value is reported unless it
 touches a base span. Edges are distinct (pattern, value) pairs, so neither a common word nor a much-copied document
@@ -36,6 +36,7 @@ PATTERNS = {
 _W = r"[^\x20\x09-\x0D]"
 CANDIDATE = rf"(?<!{_W})(?={_W}*[0-9@]){_W}++"
 
+#: Of the SQL, which is written out for so many rounds.
 ROUNDS = 2
 MIN_SUPPORT = 5
 PATTERN_CONFIDENCE = 0.8
@@ -139,8 +140,11 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     return d.select("doc", "base", F.transform("found", known).alias("found"))
 
 
-def discover(scanned: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """rid, k, s, e: occurrences that confident patterns add to the base spans of ``scanned`` (with rid; materialised)."""
+def discover(scanned: DataFrame, rounds: int | None = None, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """rid, k, s, e: occurrences that confident patterns add to the base spans of ``scanned`` (with rid; materialised).
+
+    Rounds go on until none finds a new value, or for ``rounds`` of them.
+    """
     occ = scanned.select("rid", F.explode("found").alias("o")).select("rid", "o.*")
     patterns = F.array(
         F.when(F.col("left") != "", F.concat_ws(" ", F.lit("L"), "left", "shape")),
@@ -149,25 +153,27 @@ def discover(scanned: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SU
     )
     occ = occ.withColumn("pattern", F.explode(F.array_compact(patterns)))
     edges = materialize(occ.groupBy("pattern", "value").agg(F.min("k").alias("k")))
-    seeds = edges.filter("k is not null").groupBy("value").agg(F.min("k").alias("kind"))
-    # only patterns that hold enough seeds at all can be accepted
-    likely = edges.filter("k is not null").groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= min_support).select("pattern")
-    edges = materialize(edges.join(likely, "pattern", "left_semi").select("pattern", "value"))
-    known, accepted = materialize(seeds), None
-    for _ in range(rounds):
-        total = edges.groupBy("pattern").agg(F.count("*").alias("total"))
+    known = materialize(edges.filter("k is not null").groupBy("value").agg(F.min("k").alias("kind")))
+    totals = materialize(edges.groupBy("pattern").agg(F.count("*").alias("total")).filter(F.col("total") >= min_support))
+    edges, done = edges.select("pattern", "value"), 0
+    while True:
+        # what is known grows by each round, so that patterns short of seeds can be accepted later; values keep their kind
         support = edges.join(known, "value").groupBy("pattern", "kind").agg(F.count("*").alias("n")).filter(F.col("n") >= min_support)
-        accepted = support.join(total, "pattern").withColumn("confidence", F.col("n") / (F.col("total") + 1)).filter(F.col("confidence") >= PATTERN_CONFIDENCE)
+        accepted = support.join(totals, "pattern").withColumn("confidence", F.col("n") / (F.col("total") + 1)).filter(F.col("confidence") >= PATTERN_CONFIDENCE)
         accepted = materialize(accepted.select("pattern", "kind", "confidence"))
-        votes = edges.join(accepted, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("confidence"))
+        if done == rounds:
+            break
+        votes = edges.join(accepted, "pattern").join(known.select("value"), "value", "left_anti").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("confidence"))
         votes = votes.filter(F.col("confidence") >= VALUE_CONFIDENCE).groupBy("value").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
-        new = votes.join(seeds.select("value"), "value", "left_anti")
-        known = materialize(seeds.unionByName(new))
+        new = materialize(votes)
+        if not new.limit(1).count():
+            break
+        known, done = materialize(known.unionByName(new)), done + 1
     fresh = occ.filter("k is null").join(accepted.select("pattern", "kind"), "pattern").join(known.withColumnRenamed("kind", "of"), "value").filter("kind = of")
     return fresh.select("rid", F.col("kind").alias("k"), "s", "e").distinct()
 
 
-def find(docs: DataFrame, keep: list[str], rounds: int = ROUNDS, min_support: int = MIN_SUPPORT) -> DataFrame:
+def find(docs: DataFrame, keep: list[str], rounds: int | None = None, min_support: int = MIN_SUPPORT) -> DataFrame:
     """``doc``, ``base`` and ``spans`` (base and discovered, by kind, then start); one row per row of ``docs``."""
     s = materialize(scan(docs, keep).withColumn("rid", F.monotonically_increasing_id()))
     extra = discover(s.select("rid", "found"), rounds, min_support).groupBy("rid").agg(F.collect_list(F.struct("k", "s", "e")).alias("extra"))
@@ -180,14 +186,14 @@ def _said(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"], x["e"])), ",")
 
 
-def personal_data(docs: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT) -> DataFrame:
+def personal_data(docs: DataFrame, rounds: int | None = None, min_support: int = MIN_SUPPORT) -> DataFrame:
     """doc_id, n_<kind> (base counts), base_sha256, spans; one row per document."""
     f = find(docs, ["doc_id"], rounds, min_support)
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     return f.select("doc.doc_id", *[count(k) for k in KINDS], F.sha2(_said("base"), 256).alias("base_sha256"), _said("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
 
 
-def redacted_documents(docs: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT) -> DataFrame:
+def redacted_documents(docs: DataFrame, rounds: int | None = None, min_support: int = MIN_SUPPORT) -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets and n_chars set anew; the columns of ``docs``.
 
     Where spans of several kinds overlap, the one that starts first (then the longest) is replaced and the rest of the

@@ -349,6 +349,20 @@ def test_contexts_accept_shapes_of_seeds(spark):
     assert {r[0]: r[1:] for r in c.sql(pii.ORACLE_SQL).project("doc_id, spans, n_added").fetchall()} == {i: (r.spans, r.n_added) for i, r in got.items()}
 
 
+def test_contexts_find_other_shapes_than_seeds(spark):
+    rows = [(i, f"filler text here reach callme: user{i}@mail{i}.example.com thanks a lot") for i in range(60)]
+    rows += [(100 + i, f"some words reach callme: person{i}@localhost{i} thanks again") for i in range(3)]
+    rows += [(200 + i, f"nothing personal about room{i}@floor{i} in the plan") for i in range(3)]
+    rows += [(300 + i, f"please dial the desk +1 (555) 010-{1000 + i} today or never") for i in range(60)]
+    rows += [(400, "please dial the desk 555-123-4567 today or never"), (401, "they dial the desk 555 123 45678, tomorrow"), (402, "chapter 555 123 4567 of the book")]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    said = dict(rows)
+    value = lambda i, v, k: f"{k}:{said[i].index(v)}:{said[i].index(v) + len(v)}"
+    assert [got[100 + i].spans for i in range(3)] == [value(100 + i, f"person{i}@localhost{i}", "email") for i in range(3)]
+    assert got[400].spans == value(400, "555-123-4567", "phone") and got[401].spans == value(401, "555 123 45678", "phone")
+    assert all(r.n_added == (i in (100, 101, 102, 400, 401)) for i, r in got.items())
+
+
 def test_contexts_learn_from_what_contexts_found(spark):
     # numbers found after "cardno" teach "ref ... over", which has two seeds only; what that finds teaches "seen ... there"
     card = lambda n: n + (10 - sum((d := int(c) * (2 - i % 2)) - 9 * (d > 9) for i, c in enumerate(str(n)[:-1])) % 10) % 10

@@ -1,7 +1,8 @@
 """Personal data: base patterns, and contexts that are bootstrapped from what they find.
 
-Base entities (email, ip, card, phone) seed the search. Candidates are words with a digit or an at sign. Lexical
-patterns are a candidate's shape with the word before it, with the word after it, and with both. Patterns and candidate
+Base entities (email, ip, card, phone) seed the search. Candidates are words with a digit or an at sign, and numbers
+written with spaces. Lexical patterns are a candidate's shape with the word before it, with the word after it, and with
+both; and, whatever the shape, the word before, the word after, both, the two before and the two after. Patterns and candidate
 values form a graph that Spark scores in rounds, until none finds a new value: a pattern's confidence in a kind is the share of its distinct values
 that are known to be of the kind, and a value's confidence is the noisy-or over its accepted patterns. Values above the
 bar join the known ones; in the end every occurrence in an accepted pattern with a known value is reported unless it
@@ -35,6 +36,10 @@ PATTERNS = {
 }
 _W = r"[^\x20\x09-\x0D]"
 CANDIDATE = rf"(?<!{_W})(?={_W}*[0-9@]){_W}++"
+#: Numbers written with spaces: number-like words with single spaces between, whole words but for closing punctuation.
+_NUMBER = r"[0-9][0-9().-]*+"
+_END = rf"(?=\p{{Punct}}*+(?!{_W}))"
+RUN = rf"(?<!{_W})[+(]*+{_NUMBER}(?:\x20\(?+{_NUMBER}{_END})++"
 
 #: Of the SQL, which is written out for so many rounds.
 ROUNDS = 2
@@ -109,21 +114,37 @@ def _base(text: Column, kind: str) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    """Candidate words as structs: s, e (edge punctuation off), value, left, right (neighbour words, lower case), shape."""
+    """Candidates as structs: s, e (edge punctuation off), value, left, right (neighbour words, lower case), shape, left2, right2 and whole.
+
+    They are words and, whole, numbers written with spaces. left2 and right2 are the two words on either side; they are
+    null for words that are part of such a number.
+    """
     space = lambda c: F.translate(c, "\x09\x0a\x0b\x0c\x0d", "     ")
     bare = lambda w: F.lower(F.regexp_replace(w, r"^[\p{Punct}]+|[\p{Punct}]+$", ""))
 
-    def one(x: Column) -> Column:
+    def two(c: Column, n: int) -> Column:
+        return F.regexp_replace(F.substring_index(c, " ", n), r"^[\p{Punct}]+|[\p{Punct}]+$", "")
+
+    def one(x: Column, part: Column, whole: bool) -> Column:
         lead = F.length(F.regexp_extract(x["v"], r"^[^\p{L}0-9@+]*", 0))
         value = F.regexp_replace(x["v"], r"^[^\p{L}0-9@+]+|[^\p{L}0-9]+$", "")
+        before, after = F.rtrim(space(x["before"])), F.ltrim(space(x["after"]))
         return let(value, lambda v: F.struct(
             (x["s"] + lead).alias("s"), (x["s"] + lead + F.length(v)).alias("e"), F.lower(v).alias("value"),
-            bare(F.substring_index(F.rtrim(space(x["before"])), " ", -1)).alias("left"),
-            bare(F.substring_index(F.ltrim(space(x["after"])), " ", 1)).alias("right"),
-            F.regexp_replace(F.regexp_replace(F.lower(v), r"\p{L}+", "a"), "[0-9]+", "0").alias("shape")))
-
-    none = F.array().cast("array<struct<s:int,e:int,value:string,left:string,right:string,shape:string>>")
-    found = F.filter(F.transform(matches(text, CANDIDATE), one), lambda c: F.length(c["value"]).between(5, 64))
+            bare(F.substring_index(before, " ", -1)).alias("left"),
+            bare(F.substring_index(after, " ", 1)).alias("right"),
+            F.regexp_replace(F.regexp_replace(F.lower(v), r"\p{L}+", "a"), "[0-9]+", "0").alias("shape"),
+            F.when(~part, F.lower(two(before, -2))).alias("left2"), F.when(~part, F.lower(two(after, 2))).alias("right2"), F.lit(whole).alias("whole")))
+
+    def words(m: Column) -> Column:
+        number = lambda x: x["v"].rlike(rf"^[+(]*+{_NUMBER}\p{{Punct}}*$")
+        open_ = lambda x: x["v"].rlike(rf"^[+(]*+{_NUMBER}$")
+        joined = lambda i: F.coalesce((F.get(m, i)["before"] == " ") & number(F.get(m, i)) & open_(F.get(m, i - 1)), F.lit(False))
+        return F.transform(m, lambda x, i: one(x, joined(i) | joined(i + 1), False))
+
+    none = F.array().cast("array<struct<s:int,e:int,value:string,left:string,right:string,shape:string,left2:string,right2:string,whole:boolean>>")
+    runs = F.when(text.rlike(RUN), F.transform(matches(text, RUN), lambda x: one(x, F.lit(False), True))).otherwise(none)
+    found = F.filter(F.concat(let(matches(text, CANDIDATE), words), runs), lambda c: F.length(c["value"]).between(5, 64))
     return F.when(text.rlike("[0-9@]"), found).otherwise(none)
 
 
@@ -135,9 +156,13 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     def known(c: Column) -> Column:
         hit = F.filter(F.col("base"), lambda b: (b["s"] < c["e"]) & (b["e"] > c["s"]))
-        return F.struct(*[c[n].alias(n) for n in ("s", "e", "value", "left", "right", "shape")], F.get(hit, F.lit(0))["k"].alias("k"))
+        part = F.get(hit, F.lit(0))
+        mixed = c["whole"] & ((part["s"] > c["s"]) | (part["e"] < c["e"]))
+        names = ("s", "e", "value", "left", "right", "shape", "left2", "right2", "whole")
+        return F.struct(*[c[n].alias(n) for n in names], part["k"].alias("k"), F.coalesce(mixed, F.lit(False)).alias("mixed"))
 
-    return d.select("doc", "base", F.transform("found", known).alias("found"))
+    # numbers with spaces that are a base span and more are no candidates
+    return d.select("doc", "base", F.filter(F.transform("found", known), lambda c: ~c["mixed"]).alias("found"))
 
 
 def discover(scanned: DataFrame, rounds: int | None = None, min_support: int = MIN_SUPPORT) -> DataFrame:
@@ -146,10 +171,18 @@ def discover(scanned: DataFrame, rounds: int | None = None, min_support: int = M
     Rounds go on until none finds a new value, or for ``rounds`` of them.
     """
     occ = scanned.select("rid", F.explode("found").alias("o")).select("rid", "o.*")
+    left, right = F.col("left") != "", F.col("right") != ""
+    shaped = lambda test, *parts: F.when(~F.col("whole") & test, F.concat_ws(" ", *parts))
+    free = lambda test, *parts: F.when(F.col("left2").isNotNull() & test, F.concat_ws(" ", *parts))
     patterns = F.array(
-        F.when(F.col("left") != "", F.concat_ws(" ", F.lit("L"), "left", "shape")),
-        F.when(F.col("right") != "", F.concat_ws(" ", F.lit("R"), "right", "shape")),
-        F.when((F.col("left") != "") & (F.col("right") != ""), F.concat_ws(" ", F.lit("B"), "left", "shape", "right")),
+        shaped(left, F.lit("L"), "left", "shape"),
+        shaped(right, F.lit("R"), "right", "shape"),
+        shaped(left & right, F.lit("B"), "left", "shape", "right"),
+        free(left, F.lit("l"), "left"),
+        free(right, F.lit("r"), "right"),
+        free(left & right, F.lit("b"), "left", "right"),
+        free(F.col("left2").contains(" "), F.lit("ll"), "left2"),
+        free(F.col("right2").contains(" "), F.lit("rr"), "right2"),
     )
     occ = occ.withColumn("pattern", F.explode(F.array_compact(patterns)))
     edges = materialize(occ.groupBy("pattern", "value").agg(F.min("k").alias("k")))
@@ -178,6 +211,8 @@ def find(docs: DataFrame, keep: list[str], rounds: int | None = None, min_suppor
     s = materialize(scan(docs, keep).withColumn("rid", F.monotonically_increasing_id()))
     extra = discover(s.select("rid", "found"), rounds, min_support).groupBy("rid").agg(F.collect_list(F.struct("k", "s", "e")).alias("extra"))
     none = F.array().cast("array<struct<k:int,s:int,e:int>>")
+    inside = lambda x, y: (y["s"] <= x["s"]) & (y["e"] >= x["e"]) & ((y["s"] < x["s"]) | (y["e"] > x["e"]))
+    extra = extra.withColumn("extra", F.filter("extra", lambda x: ~F.exists("extra", lambda y: inside(x, y))))
     return sized_join(s, materialize(extra), ["rid"]).select("doc", "base", F.sort_array(F.concat("base", F.coalesce("extra", none))).alias("spans"))
 
 

@@ -46,6 +46,18 @@ def test_licences_against_all_windows():
         assert found <= expected and bool(found) == bool(expected)
 
 
+def test_notices_that_stand_close_together():
+    s = licences.Scanner(licences.TEMPLATES)
+    for name in ("mit/notice", "gpl-3.0/notice", "cc-by-nc-sa-4.0/notice", "mit/text"):
+        said = licences.TEMPLATES[name]
+        for copies in (1, 2, 3, 40):
+            for between in range(6):
+                text = said + "".join(f" {' '.join(f'x{i}y{j}' for j in range(between))} {said}" for i in range(copies - 1))
+                found = s.scan(text)
+                assert [p[2] for p in found] == [name] * copies and all(p[3] == 1 for p in found)
+                assert all(licences.words_of(text[p[0] : p[1]]) == licences.words_of(said) for p in found)
+
+
 def test_licence_offsets(documents, texts):
     rows = licences.passages(documents).filter("size(passages) > 0").collect()
     assert rows

@@ -4,8 +4,9 @@ Words are runs of letters and digits in lower case. For a template of b distinct
 distinct bigrams can only reach t if t/(2-t) * b <= a <= (2-t)/t * b, and if it holds at least t/(2-t) * b of the
 template's bigrams. Templates whose bigrams are too few in a text are not looked at; for the others, occurrences of the
 template's bigrams are cut into runs where more than 2(1-t)/t * b words lie between, as no passage of that Dice has such
-a gap; each run is trimmed from either end while that raises the coefficient and is compared if its size is in bounds. Of
-overlapping passages the one with the highest coefficient stays (then the longer, then the template's name).
+a gap. In a run all passages from one occurrence to another within the size bounds are compared. The passage with the
+highest coefficient is taken (then the longer, then the template's name); what a run has on either side of a taken passage is
+searched again, so that notices that stand close together are found one by one.
 
 The templates are a parameter, small and sent to every task. ``TEMPLATES`` has short notices and the openings or full
 texts of short public licences.
@@ -16,6 +17,8 @@ empty table gives an empty result. Extra columns are ignored. Offsets are code p
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -83,21 +86,36 @@ class Scanner:
         own = bigrams(words)
         return 2 * len(own & self.sets[k]) / (len(own) + len(self.sets[k]))
 
-    def _run(self, words: list[str], at: list[int], k: int) -> tuple[float, int, int] | None:
-        """The best passage from occurrence ``at[0]`` to ``at[-1]`` by trimming; None if it misses size bounds or threshold."""
-        low, high = 0, len(at) - 1
-        best = self.dice(words[at[0] : at[-1] + 2], k)
-        while low < high:
-            cut = [(self.dice(words[at[a] : at[z] + 2], k), a, z) for a, z in ((low + 1, high), (low, high - 1))]
-            d, a, z = max(cut, key=lambda c: c[0])
-            if d <= best:
+    def _best(self, words: list[str], at: list[int], k: int) -> tuple[float, int, int] | None:
+        """The passage of the highest Dice (then the longest, then the first) that starts and ends with occurrences ``at``; None below the threshold."""
+        own, most = self.sets[k], self.sizes[k] * (2 - self.t) / self.t + 1e-9
+        rest, held = [], set()
+        for p in reversed(at):
+            held.add((words[p], words[p + 1]))
+            rest.append(len(held))
+        rest.reverse()
+        best, found = (self.t, 0), None
+        for i, start in enumerate(at):
+            if rest[i] < self.least[k]:
                 break
-            best, low, high = d, a, z
-        size = len(bigrams(words[at[low] : at[high] + 2]))
-        ratio = self.t / (2 - self.t)
-        if best < self.t or not ratio * self.sizes[k] - 1e-9 <= size <= self.sizes[k] / ratio + 1e-9:
-            return None
-        return best, at[low], at[high] + 2
+            seen, hits, p, full = set(), 0, start, 0.0
+            for last in at[i:]:
+                while p <= last:
+                    pair = (words[p], words[p + 1])
+                    if pair not in seen:
+                        seen.add(pair)
+                        hits += pair in own
+                    p += 1
+                # no end further on does better once the size or even all hits that are left cannot reach the best
+                if len(seen) > most or 2 * rest[i] / (len(seen) + len(own)) < best[0]:
+                    break
+                d = 2 * hits / (len(seen) + len(own))
+                if d < full:
+                    break
+                if (d, last - start) > best:
+                    best, found = (d, last - start), (d, start, last + 2)
+                full = d if hits == rest[i] else full
+        return found
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, float]]:
         """(start, end, template, Dice) of the passages found, in order."""
@@ -113,16 +131,26 @@ class Scanner:
         if not len(both):
             return []
         has = self.has[where]
-        found = []
+        found: list[tuple[float, int, str, int, int, int, list[int]]] = []
+
+        def search(at: list[int], k: int) -> None:
+            if len(at) >= self.least[k] and (r := self._best(words, at, k)):
+                d, a, z = r
+                heapq.heappush(found, (-d, a - z, self.names[k], a, z, k, at))
+
         for k in np.flatnonzero(has.sum(axis=0) >= self.least):
             at = both[has[:, k]]
             for run in np.split(at, np.flatnonzero(np.diff(at) > self.gap[k]) + 1):
-                if len(run) >= self.least[k] and (r := self._run(words, run.tolist(), int(k))):
-                    found.append((*r, self.names[k]))
+                search(run.tolist(), int(k))
         taken: list[tuple[int, int, str, float]] = []
-        for d, a, z, name in sorted(found, key=lambda f: (-f[0], f[1] - f[2], f[3], f[1])):
-            if all(z <= s or a >= e for s, e, _, _ in taken):
-                taken.append((a, z, name, d))
+        while found:
+            d, _, name, a, z, k, at = heapq.heappop(found)
+            cut = next(((s, e) for s, e, _, _ in taken if a < e and s < z), None)
+            if cut is None:
+                taken.append((a, z, name, -d))
+                cut = a, z
+            search(at[: bisect.bisect_right(at, cut[0] - 2)], k)
+            search(at[bisect.bisect_left(at, cut[1]) :], k)
         if taken:
             spans = [m.span() for m in _WORDS.finditer(text)]
             taken = [(spans[a][0], spans[z - 1][1], name, d) for a, z, name, d in sorted(taken)]

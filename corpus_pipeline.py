@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
-    return near_dup.deduplicated(docs)
+    """One document of each group of near-duplicates (a similarity of 0.8 or more) stays: the one with the smallest doc_id."""
+    return near_dup.deduplicated(docs, percent=near_dup.CORPUS_PERCENT)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -113,6 +113,16 @@ def test_large_group_of_near_copies_over_several_blocks(spark, monkeypatch):
     assert found == brute_components(made, 85)
 
 
+def test_deduplicated_takes_copies_from_80_percent(spark):
+    base = [f"t{i}" for i in range(204)]
+    changed = lambda at: " ".join("e" if i in at else w for i, w in enumerate(base))
+    made = [(1, " ".join(base)), (2, changed((20, 60, 100, 140))), (3, changed((20, 60, 100, 140, 180, 30, 40, 50)))]  # 0.82 and 0.67 of 1
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    assert brute_components(dict(made), 80)[2][1] == 1 and brute_components(dict(made), 85)[2][1] == 2
+    expected = {i for i, (_, root) in brute_components(dict(made), 80).items() if root == i}
+    assert {r.doc_id for r in near_dup.deduplicated(docs).collect()} == expected
+
+
 def test_estimate_is_near_the_similarity():
     a, b = np.arange(1, 1001, dtype=np.uint64), np.arange(101, 1101, dtype=np.uint64)
     sig = [np.frombuffer(near_dup.packed(near_dup.minima(near_dup._mix(x) & near_dup._KEEP)), np.uint8)[None, :] for x in (a, b)]

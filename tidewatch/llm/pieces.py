@@ -26,12 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import blocks
+
 MARK = "▁"
-BLOCK_CHARS = 4_000_000
 CACHE_WORDS = 600_000
 CACHE_PAIRS = 500_000
 _CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -142,19 +142,6 @@ def pieces(path: str) -> Pieces:
     return _LOADED[path]
 
 
-def blocks(batch: pa.RecordBatch, limit: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` whose texts have about ``limit`` characters at most, one row at least."""
-    sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
-    start = total = 0
-    for i, n in enumerate(sizes):
-        if i > start and total + n > limit:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += n
-    if start < len(sizes):
-        yield batch.slice(start)
-
-
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, with_decoded: bool) -> Iterator[pa.RecordBatch]:
     p = pieces(path)
     for batch in batches:

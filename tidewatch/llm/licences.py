@@ -4,12 +4,13 @@ Words are runs of letters and digits in lower case. For a template of b distinct
 distinct bigrams can only reach t if t/(2-t) * b <= a <= (2-t)/t * b, and if it holds at least t/(2-t) * b of the
 template's bigrams. Templates whose bigrams are too few in a text are not looked at; for the others, occurrences of the
 template's bigrams are cut into runs where more than 2(1-t)/t * b words lie between, as no passage of that Dice has such
-a gap. In a run all passages from one occurrence to another within the size bounds are compared. The passage with the
-highest coefficient is taken (then the longer, then the template's name); what a run has on either side of a taken passage is
-searched again, so that notices that stand close together are found one by one.
+a gap. In a run every occurrence starts a passage, whose end is the occurrence within the size bounds that gives the highest
+coefficient, then the longest passage. Of all passages the one with the highest coefficient is taken (then the longer, then the
+template's name, then the first), and those that it overlaps end earlier or go, so that notices that stand close together
+are found one by one.
 
-The templates are a parameter, small and sent to every task. ``TEMPLATES`` has short notices and the openings or full
-texts of short public licences.
+The templates are a parameter, small and sent to every task. ``TEMPLATES`` has the texts of short public licences, and
+notices, headers and openings of these and of longer ones. Names are licence/part.
 
 Nulls and odd input: null and empty texts have no passage; one-word texts have no bigram; repeated rows each get a row; an
 empty table gives an empty result. Extra columns are ignored. Offsets are code points of the whole text.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -27,35 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.licence_texts import TEMPLATES
+
 THRESHOLD = 0.8
 _WORDS = re.compile(r"[^\W_]+")
 
-# Wordings of public licences and of the usual notices that name them.
-TEMPLATES = {
-    "apache-2.0/notice": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0/header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    "bsd-2-clause/notice": "Released under the BSD 2-Clause License.",
-    "bsd-3-clause/notice": "Released under the BSD 3-Clause License.",
-    "bsd/text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.',
-    "cc-by-4.0/notice": "Licensed under CC BY 4.0.",
-    "cc-by-nc-4.0/notice": "Licensed under CC BY-NC 4.0.",
-    "cc-by-nc-nd-4.0/notice": "Licensed under CC BY-NC-ND 4.0.",
-    "cc-by-nc-sa-4.0/notice": "Licensed under CC BY-NC-SA 4.0.",
-    "cc-by-nd-4.0/notice": "Licensed under CC BY-ND 4.0.",
-    "cc-by-sa-4.0/notice": "Licensed under CC BY-SA 4.0.",
-    "cc0-1.0/notice": "Released under CC0 1.0 Universal.",
-    "gpl-2.0/notice": "This work is licensed under the GNU General Public License, version 2.",
-    "gpl-3.0/notice": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "isc/text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.',
-    "lgpl-3.0/notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "mit/notice": "Released under the MIT License.",
-    "mit/notice-licensed": "Licensed under the MIT License.",
-    "mit/text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
-    "mpl-2.0/header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    "unlicense/text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-}
-
 
 def words_of(text: str) -> list[str]:
     return [w.lower() for w in _WORDS.findall(text)] if not text.isascii() else _WORDS.findall(text.lower())
@@ -86,36 +64,27 @@ class Scanner:
         own = bigrams(words)
         return 2 * len(own & self.sets[k]) / (len(own) + len(self.sets[k]))
 
-    def _best(self, words: list[str], at: list[int], k: int) -> tuple[float, int, int] | None:
-        """The passage of the highest Dice (then the longest, then the first) that starts and ends with occurrences ``at``; None below the threshold."""
-        own, most = self.sets[k], self.sizes[k] * (2 - self.t) / self.t + 1e-9
-        rest, held = [], set()
-        for p in reversed(at):
-            held.add((words[p], words[p + 1]))
-            rest.append(len(held))
-        rest.reverse()
-        best, found = (self.t, 0), None
-        for i, start in enumerate(at):
-            if rest[i] < self.least[k]:
+    def _ending(self, pairs: list[int], at: list[int], i: int, k: int, limit: int) -> tuple[float, int] | None:
+        """The best Dice of a passage from occurrence ``at[i]`` and its end, ``limit`` at most; None below the threshold."""
+        size, most = self.sizes[k], self.sizes[k] * (2 - self.t) / self.t + 1e-9
+        seen: set[int] = set()
+        hits, p, best, end = 0, at[i], self.t, None
+        for last in itertools.islice(at, i, None):
+            if last + 2 > limit:
+                break
+            while p < last:  # between occurrences nothing is the template's
+                seen.add(pairs[p])
+                p += 1
+            hits += pairs[p] not in seen
+            seen.add(pairs[p])
+            p += 1
+            # no end further on does better once the passage is too large for the threshold or the best
+            if len(seen) > most or 2 * size < best * (len(seen) + size):
                 break
-            seen, hits, p, full = set(), 0, start, 0.0
-            for last in at[i:]:
-                while p <= last:
-                    pair = (words[p], words[p + 1])
-                    if pair not in seen:
-                        seen.add(pair)
-                        hits += pair in own
-                    p += 1
-                # no end further on does better once the size or even all hits that are left cannot reach the best
-                if len(seen) > most or 2 * rest[i] / (len(seen) + len(own)) < best[0]:
-                    break
-                d = 2 * hits / (len(seen) + len(own))
-                if d < full:
-                    break
-                if (d, last - start) > best:
-                    best, found = (d, last - start), (d, start, last + 2)
-                full = d if hits == rest[i] else full
-        return found
+            d = 2 * hits / (len(seen) + size)
+            if d >= best:
+                best, end = d, last + 2
+        return (best, end) if end else None
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, float]]:
         """(start, end, template, Dice) of the passages found, in order."""
@@ -128,32 +97,40 @@ class Scanner:
         where = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         hit = self.codes[where] == codes
         both, where = both[hit], where[hit]
-        if not len(both):
-            return []
         has = self.has[where]
-        found: list[tuple[float, int, str, int, int, int, list[int]]] = []
+        near = np.flatnonzero(has.sum(axis=0) >= self.least)
+        if not len(near):
+            return []
+        ids: dict[str, int] = {}
+        numbers = [ids.setdefault(w, len(ids)) for w in words]
+        pairs = [a * len(ids) + b for a, b in zip(numbers, numbers[1:])]
+        found: list[tuple[float, int, str, int, int, int, list[int], int]] = []
 
-        def search(at: list[int], k: int) -> None:
-            if len(at) >= self.least[k] and (r := self._best(words, at, k)):
-                d, a, z = r
-                heapq.heappush(found, (-d, a - z, self.names[k], a, z, k, at))
+        def put(at: list[int], i: int, k: int, limit: int) -> None:
+            if r := self._ending(pairs, at, i, k, limit):
+                heapq.heappush(found, (-r[0], at[i] - r[1], self.names[k], at[i], r[1], k, at, i))
 
-        for k in np.flatnonzero(has.sum(axis=0) >= self.least):
+        for k in near.tolist():
             at = both[has[:, k]]
             for run in np.split(at, np.flatnonzero(np.diff(at) > self.gap[k]) + 1):
-                search(run.tolist(), int(k))
+                if len(run) >= self.least[k]:
+                    places = run.tolist()
+                    for i in range(len(places)):
+                        put(places, i, k, len(words))
         taken: list[tuple[int, int, str, float]] = []
         while found:
-            d, _, name, a, z, k, at = heapq.heappop(found)
-            cut = next(((s, e) for s, e, _, _ in taken if a < e and s < z), None)
-            if cut is None:
-                taken.append((a, z, name, -d))
-                cut = a, z
-            search(at[: bisect.bisect_right(at, cut[0] - 2)], k)
-            search(at[bisect.bisect_left(at, cut[1]) :], k)
+            d, _, name, a, z, k, at, i = heapq.heappop(found)
+            n_before = bisect.bisect_right(taken, a, key=lambda x: x[0])
+            limit = taken[n_before][0] if n_before < len(taken) else len(words)
+            if n_before and taken[n_before - 1][1] > a:
+                continue
+            if z > limit:
+                put(at, i, k, limit)
+            else:
+                taken.insert(n_before, (a, z, name, -d))
         if taken:
             spans = [m.span() for m in _WORDS.finditer(text)]
-            taken = [(spans[a][0], spans[z - 1][1], name, d) for a, z, name, d in sorted(taken)]
+            taken = [(spans[a][0], spans[z - 1][1], name, d) for a, z, name, d in taken]
         return taken
 
 

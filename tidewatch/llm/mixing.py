@@ -7,10 +7,12 @@ then takes whole epochs and, of one more epoch, a prefix: its documents in the o
 the first that would exceed the budget.
 
 The prefix needs no sort of a leaf: token sums per leaf and leading hash digits (16**DIGITS buckets at most) find the
-bucket in which the budget ends, and only that bucket's documents are ordered. The result of planning is one row per
+bucket in which the budget ends, sums of that bucket by further digits the next, and so on until a leaf's last bucket
+has at most ``SMALL`` keys, which are ordered. So no window grows with a leaf. The result of planning is one row per
 leaf, which is joined to the documents.
 
-Nulls and odd input: a null language, source or domain is a node of its own with the default weight; null text has no
+Nulls and odd input: a null language, source or domain is a node of its own with the default weight; a node of weight 0
+takes nothing, however short its siblings are, and negative weights raise; null text has no
 tokens; a null doc_id hashes as an empty string; rows of equal doc_id are taken or left together; documents without
 tokens are taken in whole epochs and in a prefix that reaches them, and never if their leaf has no tokens at all; an empty table gives an empty result. Extra columns are kept by
 ``mixed_documents`` and may have any name. All sums are integers; rounding down leaves at most one token per node unused.
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import WORD, materialize, sized_join
 
-DIGITS = 3
+DIGITS = 2
+SMALL = 256
 
 
 @dataclass(frozen=True)
@@ -40,10 +43,21 @@ class Mix:
     max_epochs: int = 2
     seed: int = 17
 
-    def weight(self, level: str) -> str:
-        known = {"domain": self.domains, "lang": self.langs, "source": self.sources}[level]
-        cases = "".join(f" WHEN '{k}' THEN {v}" for k, v in known.items())
-        return f"CAST(CASE {level}{cases} ELSE {self.default} END AS BIGINT)" if known else f"CAST({self.default} AS BIGINT)"
+    def __post_init__(self) -> None:
+        if min([self.default, *self.domains.values(), *self.langs.values(), *self.sources.values()]) < 0:
+            raise ValueError("weights must not be negative")
+
+    def named(self, level: str) -> dict[str, int]:
+        return {"domain": self.domains, "lang": self.langs, "source": self.sources}[level]
+
+    def weight(self, level: str) -> Column:
+        known = self.named(level)
+        found = F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), F.col(level)) if known else F.lit(None)
+        return F.coalesce(found, F.lit(self.default)).cast("long")
+
+    def weight_sql(self, level: str) -> str:
+        cases = "".join(" when n.{} = '{}' then {}".format(level, k.replace("'", "''"), v) for k, v in self.named(level).items())
+        return f"(case{cases} else {self.default} end)::bigint" if cases else f"{self.default}::bigint"
 
 
 #: Four domains, by the last character of the source's name.
@@ -60,13 +74,16 @@ def token_counts(docs: DataFrame, domain: str = DOMAIN) -> DataFrame:
 
 
 def _shared_out(nodes: DataFrame, parents: tuple[str, ...], name: str) -> DataFrame:
-    """``nodes`` (w, cap, budget of the parent) with ``take``: the parent's budget by weight, each at most cap."""
+    """``nodes`` (w, cap, budget of the parent) with ``take``: the parent's budget by weight, each at most cap.
+
+    Nodes without weight come last and take nothing.
+    """
     w = Window.partitionBy(*[F.col(p) for p in parents] or [F.lit(0)])
-    before = w.orderBy(F.col("cap") / F.col("w"), F.col(name)).rowsBetween(Window.unboundedPreceding, -1)
+    before = w.orderBy(F.try_divide("cap", "w").asc_nulls_last(), F.col(name)).rowsBetween(Window.unboundedPreceding, -1)
     n = nodes.withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("w_before", F.coalesce(F.sum("w").over(before), F.lit(0)))
-    n = n.withColumn("sum_w", F.sum("w").over(w)).withColumn("full", F.expr("cap * (sum_w - w_before) <= w * (budget - cap_before)"))
+    n = n.withColumn("sum_w", F.sum("w").over(w)).withColumn("full", F.expr("w > 0 AND cap * (sum_w - w_before) <= w * (budget - cap_before)"))
     n = n.withColumn("cap_full", F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(w)).withColumn("w_full", F.sum(F.when(F.col("full"), F.col("w")).otherwise(0)).over(w))
-    return n.withColumn("take", F.expr("CASE WHEN full THEN cap ELSE w * (budget - cap_full) div (sum_w - w_full) END"))
+    return n.withColumn("take", F.expr("CASE WHEN w = 0 THEN 0 WHEN full THEN cap ELSE w * (budget - cap_full) div (sum_w - w_full) END"))
 
 
 def leaf_budgets(tokens: DataFrame, mix: Mix) -> DataFrame:
@@ -76,7 +93,7 @@ def leaf_budgets(tokens: DataFrame, mix: Mix) -> DataFrame:
     taken = None
     for level, parents in LEVELS:
         keys = [*parents, level]
-        nodes = leaves.groupBy(*keys).agg(F.expr(f"sum(avail) * {mix.max_epochs}").alias("cap")).withColumn("w", F.expr(mix.weight(level)))
+        nodes = leaves.groupBy(*keys).agg(F.expr(f"sum(avail) * {mix.max_epochs}").alias("cap")).withColumn("w", mix.weight(level))
         if taken is None:
             nodes = nodes.withColumn("budget", F.lit(budget).cast("long"))
         else:
@@ -94,7 +111,7 @@ def _key(epoch: str, mix: Mix) -> Column:
 
 
 def plan(tokens: DataFrame, mix: Mix) -> DataFrame:
-    """One row per leaf: whole epochs, and the bucket and key up to which the next epoch's documents are taken.
+    """One row per leaf: whole epochs, and the key prefix and key up to which the next epoch's documents are taken.
 
     ``tokens`` is read several times: give a materialised frame.
     """
@@ -104,27 +121,30 @@ def plan(tokens: DataFrame, mix: Mix) -> DataFrame:
         F.expr("CASE WHEN avail > 0 THEN take % avail ELSE 0 END").alias("rest"),
     )
     budgets = materialize(budgets)
-    keyed = sized_join(tokens, budgets, leaf, "inner").withColumn("key", _key("whole", mix))
-    keyed = keyed.withColumn("bucket", F.substring("key", 1, DIGITS))
-    sums = keyed.groupBy(*leaf, "rest", "bucket").agg(F.sum("n_tokens").alias("n"))
-    running = F.sum("n").over(Window.partitionBy(*leaf).orderBy("bucket"))
-    sums = sums.withColumn("before", running - F.col("n")).filter(F.col("before") + F.col("n") > F.col("rest"))
-    ends = materialize(sums.groupBy(*leaf).agg(F.min(F.struct("bucket", "before")).alias("e")).select(*leaf, F.col("e.bucket").alias("end_bucket"), F.col("e.before").alias("before")))
-    last = sized_join(keyed, ends, leaf, "inner").filter(F.col("bucket") == F.col("end_bucket"))
-    last = last.groupBy(*leaf, "rest", "before", "key").agg(F.sum("n_tokens").alias("n"))
+    rows = sized_join(tokens, budgets.filter("rest > 0"), leaf, "inner").select(*leaf, "rest", F.lit(0).cast("long").alias("before"), _key("whole", mix).alias("key"), F.col("n_tokens").alias("n"))
+    digits = 0
+    while True:
+        digits += DIGITS
+        sums = rows.groupBy(*leaf, "rest", "before", F.substring("key", 1, digits).alias("prefix")).agg(F.sum("n").alias("n"))
+        upto = F.col("before") + F.sum("n").over(Window.partitionBy(*leaf).orderBy("prefix"))
+        over = sums.withColumn("upto", upto).filter(F.col("upto") > F.col("rest"))
+        ends = materialize(over.groupBy(*leaf).agg(F.min(F.struct("prefix", (F.col("upto") - F.col("n")).alias("at"))).alias("e")).select(*leaf, "e.prefix", "e.at"))
+        inside = sized_join(rows, ends, leaf, "inner").filter(F.startswith("key", "prefix"))
+        rows = materialize(inside.groupBy(*leaf, "rest", F.col("at").alias("before"), "key").agg(F.sum("n").alias("n")))
+        if digits >= 32 or not rows.groupBy(*leaf).count().filter(F.col("count") > SMALL).limit(1).count():
+            break
     upto = F.col("before") + F.sum("n").over(Window.partitionBy(*leaf).orderBy("key"))
-    cut = last.withColumn("upto", upto).filter("upto <= rest").groupBy(*leaf).agg(F.max("key").alias("cut"))
+    cut = rows.withColumn("upto", upto).filter("upto <= rest").groupBy(*leaf).agg(F.max("key").alias("cut"))
     out = sized_join(sized_join(budgets, ends, leaf), materialize(cut), leaf)
-    return materialize(out.select(*leaf, "whole", "rest", "end_bucket", "cut"))
+    return materialize(out.select(*leaf, "whole", "rest", "prefix", "cut"))
 
 
 def chosen(rows: DataFrame, plans: DataFrame, mix: Mix) -> DataFrame:
     """``rows`` (with doc_id, domain, lang, source) once for each epoch that takes them, with ``epoch``."""
     r = sized_join(rows, plans, ["domain", "lang", "source"], "inner").withColumn("__k", _key("whole", mix))
-    more = F.expr(f"rest > 0 AND (substring(__k, 1, {DIGITS}) < end_bucket OR __k <= cut)")
-    n = F.col("whole") + F.when(more, 1).otherwise(0)
+    n = F.col("whole") + F.when(F.expr("rest > 0 AND (__k < prefix OR __k <= cut)"), 1).otherwise(0)
     r = r.withColumn("epoch", F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))))
-    return r.drop("__k", "whole", "rest", "end_bucket", "cut")
+    return r.drop("__k", "whole", "rest", "prefix", "cut")
 
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix(), domain: str = DOMAIN) -> DataFrame:
@@ -147,14 +167,14 @@ def oracle_sql(mix: Mix = Mix()) -> str:
         cols = ", ".join(keys)
         return f"""
 {name}_n as (select {cols}, sum(avail)::bigint * {mix.max_epochs} as cap from leaves group by {cols}),
-{name}_b as (select n.*, {mix.weight(level_name).replace(f"CASE {level_name}", f"CASE n.{level_name}")} as w, u.take as budget from {name}_n n join {up} u on {on}),
+{name}_b as (select n.*, {mix.weight_sql(level_name)} as w, u.take as budget from {name}_n n join {up} u on {on}),
 {name}_w as (select *, sum(w) over (partition by {part}) as sum_w,
-  coalesce(sum(cap) over (partition by {part} order by cap / w, {level_name} nulls first rows between unbounded preceding and 1 preceding), 0) as cap_before,
-  coalesce(sum(w) over (partition by {part} order by cap / w, {level_name} nulls first rows between unbounded preceding and 1 preceding), 0) as w_before from {name}_b),
-{name}_f as (select *, cap * (sum_w - w_before) <= w * (budget - cap_before) as fl from {name}_w),
+  coalesce(sum(cap) over (partition by {part} order by case when w > 0 then cap / w end nulls last, {level_name} nulls first rows between unbounded preceding and 1 preceding), 0) as cap_before,
+  coalesce(sum(w) over (partition by {part} order by case when w > 0 then cap / w end nulls last, {level_name} nulls first rows between unbounded preceding and 1 preceding), 0) as w_before from {name}_b),
+{name}_f as (select *, w > 0 and cap * (sum_w - w_before) <= w * (budget - cap_before) as fl from {name}_w),
 {name}_s as (select *, sum(case when fl then cap else 0 end) over (partition by {part}) as cap_full,
   sum(case when fl then w else 0 end) over (partition by {part}) as w_full from {name}_f),
-{name} as (select {cols}, cap, case when fl then cap else w * (budget - cap_full) // (sum_w - w_full) end as take from {name}_s),"""
+{name} as (select {cols}, cap, case when w = 0 then 0 when fl then cap else w * (budget - cap_full) // (sum_w - w_full) end as take from {name}_s),"""
 
     return f"""with tokens as (select doc_id, 'd' || (ascii(right(source, 1)) % 4) as domain, lang, source,
   coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as n_tokens from documents),

@@ -2,12 +2,13 @@
 
 A text is marked (spaces become U+2581, one more goes in front) and cut before each run of marks; no piece of the
 vocabulary has a mark after another character, so words never interact. The distinct marked words of a block of texts are
-sorted and walked depth-first as a trie: the forward states of a common prefix are computed once. A state holds, for a
-prefix of the word, the best segmentation's last piece.
+sorted and walked depth-first as a trie: the forward scores of a common prefix are computed once. A state holds, for a
+prefix of the word, the best score of a segmentation, its last piece and where that starts.
 
-The vocabulary's scores are merge ranks, so the sum of scores alone would not give the segmentation that its merges
-give. The lattice therefore only has the transitions that merging allows: from piece a to piece b if merging the text ab
-ends in exactly a, b. With them each prefix has one path, and the ids equal those of the library. Whether a transition
+In a unigram vocabulary scores are log probabilities and every transition counts. In a merge (BPE) vocabulary scores are
+merge ranks, whole numbers, and the sum of scores alone would not give the segmentation that its merges
+give. There the lattice only has the transitions that merging allows: from piece a to piece b if merging the text ab
+ends in exactly a, b. With them each prefix has one path, so the first is the best, and the ids equal those of the library. Whether a transition
 is allowed is found by merging once and kept in a bounded table.
 
 Characters outside the vocabulary become byte pieces. Decoding joins pieces and bytes and turns marks into spaces, so a
@@ -38,18 +39,16 @@ _CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 class Pieces:
-    def __init__(self, path: str):
-        from sentencepiece import SentencePieceProcessor
+    """A vocabulary: ids and scores of pieces, and the ids of byte pieces."""
 
-        sp = SentencePieceProcessor(model_file=path)
-        n = sp.get_piece_size()
-        special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) for i in range(n)]
-        self.ids = {sp.id_to_piece(i): i for i in range(n) if not special[i]}
-        self.scores = {p: sp.get_score(i) for p, i in self.ids.items()}
-        self.bytes = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(n) if sp.is_byte(i)}
+    def __init__(self, ids: dict[str, int], scores: dict[str, float], byte_ids: dict[int, int]):
+        self.ids, self.scores, self.bytes = ids, scores, byte_ids
+        self.merges = all(float(x).is_integer() for x in scores.values())
+        #: Of a character without a piece, as in the library: below every piece.
+        self.unknown = min(scores.values()) - 10.0
         self.codes = {p: i.to_bytes(2, "little") for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
-        self.text = [b""] * n
+        self.text = [b""] * (1 + max(*ids.values(), *byte_ids.values()))
         for p, i in self.ids.items():
             self.text[i] = p.replace(MARK, " ").encode()
         for b, i in self.bytes.items():
@@ -57,6 +56,17 @@ class Pieces:
         self.ok: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
 
+    @classmethod
+    def load(cls, path: str) -> Pieces:
+        from sentencepiece import SentencePieceProcessor
+
+        sp = SentencePieceProcessor(model_file=path)
+        n = sp.get_piece_size()
+        if n > 1 << 16:
+            raise ValueError(f"{n} pieces do not fit 16 bits")
+        ids = {sp.id_to_piece(i): i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+        return cls(ids, {p: sp.get_score(i) for p, i in ids.items()}, {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(n) if sp.is_byte(i)})
+
     def merged(self, text: str) -> list[str]:
         """The pieces that merging gives: always the adjacent pair whose whole has the best score, the leftmost first."""
         parts, scores = list(text), self.scores
@@ -80,25 +90,34 @@ class Pieces:
         return found
 
     def walk(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Each of the sorted ``words`` with its ids, depth-first: ``last`` has, for each prefix of the current word, the
-        last piece on its path and ``froms`` where that piece starts; both are cut back to what the next word shares."""
-        last: list[str] = [""]
-        froms: list[int] = [0]
-        before, pieces, longest, allowed, code = "", self.scores, self.longest, self.allowed, self.code
+        """Each of the sorted ``words`` with its ids, depth-first: for each prefix of the current word, ``forward`` has the
+        best score, ``last`` its last piece and ``froms`` where that starts; all are cut back to what the next word shares."""
+        forward, last, froms = [0.0], [""], [0]
+        before, scores, longest, merges, allowed, code, unknown = "", self.scores, self.longest, self.merges, self.allowed, self.code, self.unknown
         for word in words:
             shared = 0
             for x, y in zip(before, word):
                 if x != y:
                     break
                 shared += 1
-            del last[shared + 1 :], froms[shared + 1 :]
+            del forward[shared + 1 :], last[shared + 1 :], froms[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
+                best = None
                 for start in range(max(0, end - longest), end):
                     piece = word[start:end]
-                    if (piece in pieces or end - start == 1) and allowed(last[start], piece):
+                    score = scores.get(piece)
+                    if score is None:
+                        if end - start > 1:
+                            continue
+                        score = unknown
+                    if merges and not allowed(last[start], piece):
+                        continue
+                    if best is None or forward[start] + score > best[0]:
+                        best = forward[start] + score, piece, start
+                    if merges:
                         break
-                last.append(piece)
-                froms.append(start)
+                for held, value in zip((forward, last, froms), best):
+                    held.append(value)
             before = word
             path, end = [], len(word)
             while end:
@@ -138,7 +157,7 @@ _LOADED: dict[str, Pieces] = {}
 def pieces(path: str) -> Pieces:
     """One per worker process, so its tables outlive a task."""
     if path not in _LOADED:
-        _LOADED[path] = Pieces(path)
+        _LOADED[path] = Pieces.load(path)
     return _LOADED[path]
 
 

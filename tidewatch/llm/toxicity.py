@@ -1,9 +1,9 @@
 """Toxicity of restored text.
 
-Noisy channel: what is written in leetspeak, with separators inside a word, letter by letter with spaces, or with letters
-repeated, opens a lattice of characters; a Viterbi search under a character language model picks the reading. A word
-without such signs has a single path and stays as it is, which is why decoding costs little: readings are kept per
-distinct written word, in a bounded table.
+Noisy channel: what is written in leetspeak, with separators inside a word, in fragments of one or two characters with
+spaces between, or with letters repeated, opens a lattice of characters; an exact Viterbi search under a character
+language model picks the reading. A word whose lattice has a single path (letters only, no two alike in a row) stays as
+it is, and so do numbers; readings are kept per distinct written word, in a bounded table.
 
 The language model (4-grams over 28 classes: letters without accents, other letters, word ends) is counted over every
 document; its table has 28**4 cells whatever the corpus, which bounds what is gathered. The classifier, a logistic
@@ -14,13 +14,15 @@ apart best by their chi-square.
 Nulls and odd input: null and empty texts have no words and get the score of the intercept; without labels of both
 classes every score is the share of toxic labels (0 without any); labels that are null or without a doc_id teach nothing,
 of several for one doc_id the largest holds; repeated rows each get a row; an empty table gives an empty result. Extra
-columns are ignored. Very long words are decoded whole, with ``BEAM`` states kept at each place.
+columns are ignored. Very long words are decoded whole, in time in proportion to their length.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +38,7 @@ WORDS = 400
 MIN_DOCS = 3
 #: A stem of so many leading letters of a word is a feature beside the word itself.
 STEMS = (4, 5, 6)
-BEAM = 64
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 PIECE = 1 << 20
 
 CLASSES = 28
@@ -48,7 +49,12 @@ LEET = {
     "!": "il", "|": "il", "+": "t", "(": "c", "*": "abcdefghijklmnopqrstuvwxyz",
 }
 SEPARATORS = set("._-*~^'`´·,:;/\\#%&=<>()[]{}\"?")
-COST_LEET, COST_DROP, COST_DROP_DIGIT, COST_BREAK, COST_RUN, COST_WILD = -0.5, -1.0, -5.0, -3.0, -0.3, -3.5
+COST_LEET, COST_DROP, COST_DROP_DIGIT, COST_BREAK, COST_RUN, COST_PAIR, COST_WILD, COST_JOIN = -0.5, -1.0, -5.0, -3.0, -0.3, -3.0, -3.5, -1.0
+#: Signs that may be letters at a word's start; at its end most are punctuation.
+SIGNS = "@$!|+(*"
+#: A longer run of wildcards is decoration, as letters in their place would be anybody's guess.
+WILD_RUN = 3
+_NUMBER = re.compile(r"[+$(|]*[0-9][0-9.,:;/()%+*-]*")
 
 _FOLD = np.arange(0x110000, dtype=np.uint32)
 _CLASS = np.zeros(0x110000, np.uint8)
@@ -113,25 +119,37 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
+Place = list[tuple[tuple[int, ...], str, float]]
+
+
+def _emit(text: str, cost: float) -> tuple[tuple[int, ...], str, float]:
+    """The classes of ``text``, the text, and its channel score."""
+    return tuple(0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else OTHER for c in text), text, cost
+
+
 class Restorer:
     def __init__(self, model: np.ndarray):
-        self.model = model
+        self.flat: list[float] = model.ravel().tolist()
         self.cache: dict[str, tuple[str, ...]] = {}
+        self.known: dict[tuple[str, int], list[Place]] = {}
 
     @staticmethod
     def noisy(core: str) -> bool:
-        letters = sum(c.isalpha() for c in core)
-        if letters < 2:
-            return False
-        return letters < len(core) or any(core[i] == core[i + 1] == core[i + 2] for i in range(len(core) - 2))
+        """Whether the lattice of ``core`` has more than one path."""
+        if core.isalpha():
+            return any(a == b for a, b in zip(core, core[1:]))
+        return not _NUMBER.fullmatch(core) and sum(c.isalpha() or c in LEET for c in core) >= 2
 
     @staticmethod
     def core(word: str) -> str:
-        """``word`` without edge characters that cannot be part of it: all but letters, digits and single leet signs."""
+        """``word`` without edge characters that cannot be part of it: at its start all but letters, digits and leet
+        signs, at its end also the signs that are punctuation there."""
+        if word.isalpha():
+            return word
         low, high = 0, len(word)
-        while low < high and not (word[low].isalnum() or (word[low] in "@$" and low + 1 < high and word[low + 1].isalnum())):
+        while low < high and not (word[low].isalnum() or word[low] in SIGNS):
             low += 1
-        while high > low and not (word[high - 1].isalnum() or (word[high - 1] in "$@" and high - 2 >= low and word[high - 2].isalnum())):
+        while high > low and not (word[high - 1].isalnum() or word[high - 1] in "@$"):
             high -= 1
         return word[low:high]
 
@@ -142,72 +160,85 @@ class Restorer:
             if len(self.cache) >= CACHE_WORDS:
                 self.cache.clear()
             core = self.core(fold(written))
-            found = tuple(self.decode(core).split()) if self.noisy(core) else (core,) if core else ()
+            found = tuple(self.decode(self.places(core)).split()) if self.noisy(core) else (core,) if core else ()
             self.cache[written] = found
         return found
 
-    def options(self, core: str) -> list[list[tuple[str, float]]]:
-        """For each place, the strings it may emit with their channel scores; a run of equal characters is one place."""
-        out, i = [], 0
+    def _run(self, c: str, n: int) -> list[Place]:
+        """The places of a run of ``n`` times ``c``. Letters, separators and decoration are one place; each leet sign is
+        its own, where one like the sign before may be its repetition."""
+        if c.isalpha():
+            return [[_emit(c, 0.0)] if n == 1 else [_emit(c, COST_PAIR), _emit(c * 2, 0.0)] if n == 2 else [_emit(c, COST_RUN), _emit(c * 2, COST_RUN)]]
+        letters = "" if c == "*" and n > WILD_RUN else LEET.get(c, "")
+        cost = COST_WILD if c == "*" else COST_LEET
+        drop = COST_DROP if c in SEPARATORS or not c.isdigit() else COST_DROP_DIGIT
+        first = [_emit(" ", COST_BREAK), _emit("", drop), *[_emit(x, cost) for x in letters]]
+        return [first] + [[_emit(" ", COST_BREAK), _emit("", COST_RUN), *[_emit(x, cost) for x in letters]]] * (n - 1 if letters else 0)
+
+    def places(self, core: str) -> list[Place]:
+        out, i, known = [], 0, self.known
         while i < len(core):
             c, n = core[i], 1
             while i + n < len(core) and core[i + n] == c:
                 n += 1
             i += n
-            if c.isalpha():
-                out.append([(c, 0.0)] if n == 1 else [(c, COST_RUN), (c * 2, 0.0 if n == 2 else COST_RUN)])
-                continue
-            place = [(" ", COST_BREAK), ("", COST_DROP if c in SEPARATORS or not c.isdigit() else COST_DROP_DIGIT)]
-            cost = COST_WILD if c == "*" else COST_LEET
-            for x in LEET.get(c, ""):
-                place += [(x, cost)] if n == 1 else [(x, cost + COST_RUN), (x * 2, cost + COST_RUN)]
-            out.append(place)
+            key = c, n if n <= 3 or (c in LEET and c != "*") else 4
+            if key not in known:
+                if len(known) > 10_000:
+                    known.clear()
+                known[key] = self._run(*key)
+            out += known[key]
         return out
 
-    def decode(self, core: str) -> str:
-        model = self.model
-        beam: dict[tuple[int, int, int], tuple[float, tuple | None]] = {(0, 0, 0): (0.0, None)}
-        for place in [*self.options(core), [(" ", 0.0)]]:
-            new: dict[tuple[int, int, int], tuple[float, tuple | None]] = {}
-            for state, (score, path) in beam.items():
-                for text, cost in place:
-                    s, (a, b, c) = score + cost, state
-                    for ch in text:
-                        k = 0 if ch == " " else ord(ch) - 96 if "a" <= ch <= "z" else OTHER
-                        if k == 0 and c == 0:
-                            continue
-                        s += float(model[a, b, c, k])
-                        a, b, c = b, c, k
-                    if (a, b, c) not in new or new[a, b, c][0] < s:
-                        new[a, b, c] = (s, (path, text))
-            if len(new) > BEAM:
-                new = dict(sorted(new.items(), key=lambda x: -x[1][0])[:BEAM])
-            beam = new
-        path, parts = max(beam.values(), key=lambda x: x[0])[1], []
+    def decode(self, places: list[Place]) -> str:
+        """The best reading: Viterbi over states of the last three classes, all of them kept."""
+        flat, size = self.flat, CLASSES**3
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+        for place in [*places, [_emit(" ", 0.0)]]:
+            new: dict[int, tuple[float, tuple | None]] = {}
+            for state, (score, path) in states.items():
+                for codes, text, cost in place:
+                    s, at = score + cost, state
+                    for k in codes:
+                        if k or at % CLASSES:  # one word end is enough
+                            at = at * CLASSES + k
+                            s += flat[at]
+                            at %= size
+                    old = new.get(at)
+                    if old is None or old[0] < s:
+                        new[at] = s, (path, text)
+            states = new
+        path, parts = max(states.values(), key=lambda x: x[0])[1], []
         while path:
             path, text = path
             parts.append(text)
         return "".join(reversed(parts))
 
-    def spelled(self, written: list[str]) -> list[str]:
-        """Readings of runs of three or more one-character words."""
-        out, run = [], []
-        for w in [*written, "  "]:
-            if len(w) == 1:
+    def spelled(self, written: list[str]) -> tuple[list[str], list[str]]:
+        """Readings of runs of three or more fragments: of single characters, joined; of one or two characters, the words
+        that the search joins."""
+        apart, joined, run = [], [], []
+        for w in [*written, "   "]:
+            if len(w) <= 2:
                 run.append(w)
                 continue
             if len(run) >= 3:
-                core = self.core(fold("".join(run)))
-                if core:
-                    out.append(self.decode(core).replace(" ", ""))
+                cores = [self.core(fold(x)) for x in run]
+                if all(len(x) == 1 for x in run):
+                    if any(cores):
+                        apart.append(self.decode(self.places(self.core(fold("".join(run))))).replace(" ", ""))
+                elif not all(c.isdigit() or not c for c in cores):
+                    join = [_emit(" ", 0.0), _emit("", COST_JOIN)]
+                    places = [p for c in cores if c for p in (join, *self.places(c))][1:]
+                    joined += [x for x in self.decode(places).split() if x not in cores]
             run = []
-        return out
+        return apart, joined
 
     def distinct(self, text: str | None) -> set[str]:
         """Features of ``text``: its restored words and their stems (leading letters, marked by *)."""
         written = text.split() if text else []
         found = {f for w in set(written) for r in self.words(w) for f in features(r)}
-        return found.union(*[features(s) for s in self.spelled(written)])
+        return found.union(*[features(s) for some in self.spelled(written) for s in some])
 
 
 def features(word: str) -> list[str]:
@@ -235,12 +266,24 @@ class Finder:
         found = set()
         for w in set(written):
             found.update(self.word(w))
-        if sum(len(w) == 1 for w in written) >= 3:
-            for s in self.restorer.spelled(written):
-                found.update([i for f, i in self.index.items() if len(f) > 4 and f.rstrip("*") in s])
+        apart, joined = self.restorer.spelled(written)
+        for s in apart:
+            found.update([i for f, i in self.index.items() if len(f) > 4 and f.rstrip("*") in s])
+        found.update([self.index[f] for s in joined for f in features(s) if f in self.index])
         return sorted(found)
 
 
+_FINDERS: dict[str, Finder] = {}
+
+
+def finder(name: str, model: np.ndarray, index: dict[str, int]) -> Finder:
+    """The one of this name: one for each worker process, so its tables outlive a task."""
+    if name not in _FINDERS:
+        _FINDERS.clear()
+        _FINDERS[name] = Finder(model, index)
+    return _FINDERS[name]
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """text and toxic of the labelled documents to learn from; materialised."""
     y = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -302,10 +345,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, int],
 
 def scores(docs: DataFrame, fitted: tuple[np.ndarray, dict[str, int], np.ndarray, float]) -> DataFrame:
     """doc_id, held_out, score, predicted; one row per document."""
-    model, index, weights, intercept = fitted
+    (model, index, weights, intercept), name = fitted, uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Finder(model, index)
+        find = finder(name, model, index)
         for b in batches:
             z = [intercept + weights[find(t)].sum() for t in b.column("text").to_pylist()]
             s = 1 / (1 + np.exp(-np.clip(np.array(z, float), -700, 700)))

@@ -214,7 +214,7 @@ def discover(scanned: DataFrame, rounds: int | None = None, min_support: int = M
         free(F.col("left2").contains(" "), F.lit("ll"), "left2"),
         free(F.col("right2").contains(" "), F.lit("rr"), "right2"),
     )
-    occ = occ.withColumn("pattern", _short(F.explode(F.array_compact(patterns))))
+    occ = occ.withColumn("pattern", F.explode(F.transform(F.array_compact(patterns), _short)))
     edges = materialize(occ.groupBy("pattern", "value").agg(F.min("k").alias("k")))
     known = materialize(edges.filter("k is not null").groupBy("value").agg(F.min("k").alias("kind")))
     totals = materialize(edges.groupBy("pattern").agg(F.count("*").alias("total")).filter(F.col("total") >= min_support))
@@ -243,7 +243,7 @@ def find(docs: DataFrame, keep: list[str], rounds: int | None = None, min_suppor
     none = F.array().cast("array<struct<k:int,s:int,e:int>>")
 
     def outer(sp: Column) -> Column:  # in order of start, the longest first, a span that ends no later than one before lies inside it
-        reach = running(F.transform(sp, lambda x: -x["ne"]), F.lit(-1), F.greatest)
+        reach = running(F.transform(sp, lambda x: -x["ne"]), F.lit(-1), lambda a, x: F.greatest(a, x))
         return let(reach, lambda r: F.filter(sp, lambda x, i: (i == 0) | (F.get(r, i - 1) < -x["ne"])))
 
     ordered = F.array_sort(F.transform("extra", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("ne"), x["k"].alias("k"))))
@@ -276,7 +276,7 @@ def redacted_documents(docs: DataFrame, rounds: int | None = None, min_support:
 
     def covered(sp: Column) -> Column:
         # a span is inside or overlapped if an earlier one ends after its start
-        reach = running(F.transform(sp, lambda x: -x["ne"]), F.lit(-1), F.greatest)
+        reach = running(F.transform(sp, lambda x: -x["ne"]), F.lit(-1), lambda a, x: F.greatest(a, x))
         return let(reach, lambda r: F.transform(sp, lambda x, i: F.struct(x["s"].alias("s"), x["k"].alias("k"), F.coalesce(F.get(r, i - 1), F.lit(0)).alias("reach"), F.get(r, i).alias("upto"))))
 
     text = F.col("doc.text")
@@ -351,7 +351,7 @@ known{r} as (select * from {known} union all select * from vote{r})"""
 base as ({spans}),
 split as (select rid, text, regexp_extract_all(text, '{c}') as m, string_split_regex(text, '{c}') as g from t where regexp_matches(text, '[0-9@]')),
 parts as (select rid, text, unnest(range(1, len(m) + 1)) as i, unnest(m) as v, unnest(g[:-2]) as before, unnest(g[2:]) as after from split),
-words as (select *, sum(len(v) + len(before)) over (partition by rid order by i) as e, sum(len(v) + len(before)) over (partition by rid order by i) - len(v) as s,
+words as (select *, (sum(len(v) + len(before)) over (partition by rid order by i))::bigint as e, (sum(len(v) + len(before)) over (partition by rid order by i))::bigint - len(v) as s,
   before = ' ' and regexp_matches(v, '^\\(?{number}[[:punct:]]*$') and coalesce(regexp_matches(lag(v) over (partition by rid order by i), '^[+(]*{number}$'), false) as joined from parts),
 linked as (select *, coalesce(lead(joined) over (partition by rid order by i), false) as joins, sum(case when joined then 0 else 1 end) over (partition by rid order by i) as island from words),
 runs as (select rid, any_value(text) as text, min(s) as s, max(s) + arg_max(len(regexp_extract(v, '^[+(]*{number}')), s) as e from linked group by rid, island having count(*) > 1),

@@ -49,7 +49,7 @@ LEET = {
     "!": "il", "|": "il", "+": "t", "(": "c", "*": "abcdefghijklmnopqrstuvwxyz",
 }
 SEPARATORS = set("._-*~^'`´·,:;/\\#%&=<>()[]{}\"?")
-COST_LEET, COST_DROP, COST_DROP_DIGIT, COST_BREAK, COST_RUN, COST_PAIR, COST_WILD, COST_JOIN = -0.5, -1.0, -5.0, -3.0, -0.3, -3.0, -3.5, -1.0
+COST_LEET, COST_DROP, COST_DROP_DIGIT, COST_BREAK, COST_RUN, COST_PAIR, COST_WILD, COST_JOIN = -0.5, -1.0, -7.3, -3.0, -0.3, -3.0, -3.5, -1.0
 #: Signs that may be letters at a word's start; at its end most are punctuation.
 SIGNS = "@$!|+(*"
 #: A longer run of wildcards is decoration, as letters in their place would be anybody's guess.
@@ -172,8 +172,9 @@ class Restorer:
         letters = "" if c == "*" and n > WILD_RUN else LEET.get(c, "")
         cost = COST_WILD if c == "*" else COST_LEET
         drop = COST_DROP if c in SEPARATORS or not c.isdigit() else COST_DROP_DIGIT
-        first = [_emit(" ", COST_BREAK), _emit("", drop), *[_emit(x, cost) for x in letters]]
-        return [first] + [[_emit(" ", COST_BREAK), _emit("", COST_RUN), *[_emit(x, cost) for x in letters]]] * (n - 1 if letters else 0)
+        apart = min(COST_BREAK, drop)  # what a word end replaces is dropped too
+        first = [_emit(" ", apart), _emit("", drop), *[_emit(x, cost) for x in letters]]
+        return [first] + [[_emit(" ", apart), _emit("", COST_RUN), *[_emit(x, cost) for x in letters]]] * (n - 1 if letters else 0)
 
     def places(self, core: str) -> list[Place]:
         out, i, known = [], 0, self.known

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from tidewatch.operators import labels, scoring
 from tidewatch.plans import catalog_models
 from tidewatch.sources import readers, sinks
 from tidewatch.streaming import jobs
@@ -35,6 +36,14 @@ def test_zip_archives(spark, tmp_path):
     assert [r.global_event_id for r in e.collect()] == ["9"]
 
 
+def test_archive_of_a_whole_number_of_blocks(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("A.CSV", "\n".join(map(str, range(20_000))))
+        z.writestr("empty.txt", "")
+        z.writestr("other.bin", "no")
+    assert readers.expand_zip_archives(spark, str(tmp_path)).count() == 20_000
+
+
 def test_polecat(spark, tmp_path):
     head = "Event Date\tCountry\tEvent Type\tQuad Code\tEvent Intensity\n"
     (tmp_path / "x_2023.txt").write_text(head + "2023-05-01\tUSA\tPROTEST\tVERBAL CONFLICT\t-2.5\n")
@@ -115,3 +124,24 @@ def test_queries_agree_with_sql(name, spark):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_backfill_reads_context_but_returns_missing_dates_only(spark):
+    days = spark.sql("select explode(sequence(date'2024-01-01', date'2024-01-12')) as event_date")
+    cols = {"action_geo_country": "'X'", "actor1_country": "'X'", "actor2_country": "'Y'", "event_root_code": "19", "event_base_code": "190", "quad_class": "4", "goldstein": "-5.0d", "num_mentions": "7", "avg_tone": "-12.0d"}
+    events = days.select("event_date", *[F.expr(v).alias(k) for k, v in cols.items()])
+    done = spark.sql("select date'2024-01-09' as feature_date")
+    got = {r.label_date.day: r for r in jobs.backfill_labels(events, done, "2024-01-08", "2024-01-10").collect()}
+    whole = {r.label_date.day: r for r in labels.multitask_labels(events).collect()}
+    assert sorted(got) == [8, 10] and all(got[d].asDict() == whole[d].asDict() for d in got)
+    assert sorted(r.cluster_date.day for r in jobs.backfill_clusters(events, done, "2024-01-08", "2024-01-10").collect()) == [8, 10]
+
+
+def test_forecaster_learns_every_step_before_the_cut(spark):
+    rows = [(f"c{i % 7}", s, *[float((i * k) % 5) for k in range(1, 7)]) for i in range(30) for s in range(6, 16)]
+    pairs = spark.createDataFrame(rows, "country string, step int, c1 double, c2 double, c3 double, c4 double, c5 double, c6 double")
+    # after step 12 the targets lie elsewhere; a model that saw them would be far off
+    pairs = pairs.select("*", *[(F.col("c6") * k + F.when(F.col("step") > 8, 100).otherwise(0)).alias(f"t{k}") for k in range(1, 5)])
+    model = scoring.fit_forecaster(scoring.before_cut(pairs, 12))
+    worst = model.transform(pairs.filter("step <= 8")).agg(F.max(F.greatest(*[F.abs(F.col(f"p{k}") - F.col(f"t{k}")) for k in range(1, 5)]))).first()[0]
+    assert worst < 0.3

@@ -71,14 +71,19 @@ def attribute_features(features: DataFrame, weights: dict[str, float], baseline:
     return g.withColumn("rank", F.row_number().over(Window.partitionBy("country").orderBy(F.desc("magnitude"), "feature")))
 
 
-def fit_forecaster(pairs: DataFrame, context: int = 6, target: int = 1, max_iter: int = 20):
-    """A Spark ML regressor of the value ``target`` steps ahead on the context values of ``context_target_pairs``."""
+def fit_forecaster(pairs: DataFrame, context: int = 6, targets: int = 4, max_iter: int = 20):
+    """Spark ML regressors of the values 1 to ``targets`` steps ahead (p1, p2, ...) on the context values of ``context_target_pairs``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    stages = [VectorAssembler(inputCols=[f"c{k}" for k in range(1, context + 1)], outputCol="x"), LinearRegression(featuresCol="x", labelCol=f"t{target}", predictionCol="predicted", maxIter=max_iter, regParam=0.01)]
-    return Pipeline(stages=stages).fit(pairs)
+    steps = [LinearRegression(featuresCol="x", labelCol=f"t{k}", predictionCol=f"p{k}", maxIter=max_iter, regParam=0.01) for k in range(1, targets + 1)]
+    return Pipeline(stages=[VectorAssembler(inputCols=[f"c{k}" for k in range(1, context + 1)], outputCol="x"), *steps]).fit(pairs)
+
+
+def before_cut(pairs: DataFrame, cut: int, targets: int = 4) -> DataFrame:
+    """Pairs whose last target lies at or before the snapshot number ``cut``: nothing after it is learned from."""
+    return pairs.filter(F.col("step") + targets <= cut)
 
 
 def fit_multitask_scorer(rows: DataFrame, features: list[str], tasks: list[str]) -> dict:

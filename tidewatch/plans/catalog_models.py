@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch import api
 
 from tidewatch.operators import evaluate, features, labels, network, scoring, text, timeseries
-from tidewatch.plans.catalog import COOC, LABELS, LSTAT, ORACLE_SQL, QUERIES, TIER, WEIGHTED, _weighted, daily, query, risk
+from tidewatch.plans.catalog import COOC, KIND, LABELS, LSTAT, ORACLE_SQL, QUAD, QUERIES, TIER, WEIGHTED, _weighted, daily, query, risk
 from tidewatch.plans.fixtures import AS_OF, facts, table, with_sql
 from tidewatch.sources import readers, sinks
 from tidewatch.streaming import jobs
@@ -24,6 +24,13 @@ def scratch(spark) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def _kept(df):
+    """``df`` written once to the shared folder and read back: a fit reads its rows many times."""
+    out = scratch(df.sparkSession)
+    df.write.parquet(out)
+    return df.sparkSession.read.parquet(out)
+
+
 # --- windows
 
 LATEST = "latest as (select country, feature_date, risk_score from (select *, row_number() over (partition by country order by feature_date desc) as n from risk where risk_score is not null) where n = 1)"
@@ -93,11 +100,12 @@ def best_neighbors(spark, d):
     return timeseries.best_neighbors(_edges(spark, d))
 
 
-GAPS = "gaps as (select * from features where (day(feature_date) + length(country) + total_events) % 4 <> 0)"
+GAPS = "gaps as (select * from features)"
 
 
 def _gaps(spark, d):
-    return daily(spark, d).filter((F.dayofmonth("feature_date") + F.length("country") + F.col("total_events")) % 4 != 0)
+    """The panel under the window queries: all rows; days without events are its gaps."""
+    return daily(spark, d)
 
 
 DENSE = lambda src, n=14: f"""span_ as (select country, unnest(generate_series(date '{AS_OF}' - {n - 1}, date '{AS_OF}', interval 1 day))::date as feature_date from (select distinct country from {src})),
@@ -172,7 +180,7 @@ def sliding_windows(spark, d):
     return _windows(spark, d)
 
 
-PAIRS = "snaps as (select country, feature_date as snapshot_date, violence_score as v, dense_rank() over (order by feature_date) as i from gaps where day(feature_date) % 2 = 0)"
+PAIRS = "snaps as (select country, feature_date as snapshot_date, violence_score as v, dense_rank() over (order by feature_date) as i from gaps)"
 AT = lambda o: f"coalesce((select max(v) from snaps s where s.country = g.country and s.i = g.step + ({o})), 0)"
 
 
@@ -181,7 +189,7 @@ AT = lambda o: f"coalesce((select max(v) from snaps s where s.country = g.countr
   where step >= 6 and step <= (select max(i) from snaps) - 4)
   where {' + '.join(f'(c{k} <> 0)::int' for k in range(1, 7))} >= 2 and {' + '.join(f'(t{k} <> 0)::int' for k in range(1, 5))} >= 1""", GAPS, PAIRS))
 def context_target_pairs(spark, d):
-    s = _gaps(spark, d).filter("day(feature_date) % 2 = 0").withColumnRenamed("feature_date", "snapshot_date")
+    s = _gaps(spark, d).withColumnRenamed("feature_date", "snapshot_date")
     return timeseries.context_target_pairs(s, "violence_score")
 
 
@@ -530,17 +538,20 @@ def attributions(spark, d):
 @query("f8_fit_forecaster")
 def fitted_forecasts(spark, d):
     s = daily(spark, d).withColumnRenamed("feature_date", "snapshot_date")
-    pairs = timeseries.context_target_pairs(s, "violence_score")
-    return scoring.fit_forecaster(pairs).transform(pairs).select("country", "step", F.round("predicted", 4).alias("predicted"), "t1")
+    split = _kept(timeseries.split_by_index(timeseries.context_target_pairs(s, "violence_score"), "step"))
+    train, later = split.filter("split = 'train'"), split.filter("split <> 'train'")
+    model = scoring.fit_forecaster(scoring.before_cut(train, train.agg(F.max("step")).scalar()))
+    return model.transform(later).select("country", "step", "split", *[F.round(f"p{k}", 4).alias(f"p{k}") for k in range(1, 5)], *[f"t{k}" for k in range(1, 5)])
 
 
 @query("f9_fit_multitask_scorer")
 def fitted_scores(spark, d):
     rows = labels.multitask_labels(facts(spark, d)).withColumnRenamed("label_date", "feature_date").join(daily(spark, d), ["country", "feature_date"])
-    out = rows
-    for model in scoring.fit_multitask_scorer(rows, COLS, ["war_label", "financial_label"]).values():
+    split = _kept(timeseries.split_by_dates(rows, "feature_date", "2024-01-18", "2024-01-24"))
+    out = split.filter("split <> 'train'")
+    for model in scoring.fit_multitask_scorer(split.filter("split = 'train'"), COLS, [f"{t}_label" for t in labels.TASKS]).values():
         out = model.transform(out).drop("x")
-    return out.select("country", "feature_date", F.round("war_label_predicted", 4).alias("war"), F.round("financial_label_predicted", 4).alias("financial"))
+    return out.select("country", "feature_date", "split", *[F.round(f"{t}_label_predicted", 4).alias(t) for t in labels.TASKS], *[f"{t}_label" for t in labels.TASKS])
 
 
 @query("f11_prediction_history", with_sql("select country, feature_date, risk_score from risk where country = 'NATION_5' order by feature_date desc limit 10"))
@@ -769,17 +780,69 @@ def read_events(spark, d):
     return parse_events(readers.read_events_v1(spark, out)).select("global_event_id", "event_date", "quad_class")
 
 
-@query("s5_feature_snapshots", with_sql("select country, feature_date as snapshot_date, violence_score as violence, protest_score as protest from features where day(feature_date) in (7, 21)"))
+@query("s5_feature_snapshots", with_sql("select country, feature_date as snapshot_date, violence_score as violence, protest_score as protest from features"))
 def feature_snapshots(spark, d):
+    """One folder a day; even days have numbered columns, odd days named ones."""
     out, f = scratch(spark), daily(spark, d)
-    for day, names in ((7, ("f0", "f1")), (21, ("protest", "violence"))):
-        rows = f.filter(F.dayofmonth("feature_date") == day).select("country", F.col("protest_score").alias(names[0]), F.col("violence_score").alias(names[1]))
-        rows.coalesce(1).write.parquet(f"{out}/202401{day:02d}_features.parquet")
-    jobs_path = f"{out}/*/"
-    rows = spark.read.option("mergeSchema", "true").parquet(jobs_path)
-    date = F.try_to_date(F.regexp_extract(F.col("_metadata.file_path"), r"(\d{8})_features", 1), "yyyyMMdd")
-    pick = lambda i, n: F.coalesce(*[F.col(c) for c in (n, f"f{i}") if c in rows.columns]).alias(n)
-    return rows.select("country", date.alias("snapshot_date"), pick(1, "violence"), pick(0, "protest"))
+    for rest, names in ((0, ("f0", "f1")), (1, ("protest", "violence"))):
+        rows = f.filter(F.dayofmonth("feature_date") % 2 == rest).select("country", F.col("protest_score").alias(names[0]), F.col("violence_score").alias(names[1]), F.date_format("feature_date", "yyyyMMdd'_features.parquet'").alias("day"))
+        rows.write.mode("append").partitionBy("day").parquet(out)
+    return readers.read_feature_snapshots(spark, out).select("country", "snapshot_date", "violence", "protest")
+
+
+PLACED = ["global_event_id", "event_date", "quad_class", "latitude", "longitude"]
+
+
+def _lines(spark, d, columns):
+    from tidewatch.plans.fixtures import raw_events
+
+    raw = raw_events(spark, d)
+    return raw.select(F.concat_ws("\t", *[F.coalesce(F.col(c), F.lit("")) if c in raw.columns else F.lit("") for c in columns]).alias("line"))
+
+
+@query("s2_read_events_v2", with_sql(f"select {', '.join(PLACED)} from parsed"))
+def read_events_v2(spark, d):
+    """Events written as lines of all 61 columns and read, parsed and typed again."""
+    from tidewatch.operators.clean import parse_events
+
+    out = scratch(spark)
+    _lines(spark, d, readers.V2_COLUMNS).write.text(out)
+    return parse_events(readers.read_events_v2(spark, out)).select(*PLACED)
+
+
+@query("s3_read_polecat", ORACLE_SQL["g3_polecat_daily_features"])
+def read_polecat(spark, d):
+    """Typed event files written with a header, read and turned into daily features."""
+    out, e = scratch(spark), facts(spark, d)
+    kind = {"Event Date": F.date_format("event_date", "yyyy-MM-dd"), "Country": F.col("action_geo_country"), "Event Type": F.expr(KIND), "Quad Code": F.expr(QUAD), "Event Intensity": F.col("goldstein").cast("string")}
+    e.select(*[c.alias(n) for n, c in kind.items()]).write.option("header", True).option("sep", "\t").csv(out)
+    return features.polecat_daily_features(readers.read_polecat(spark, out).withColumnRenamed("iso3", "country"))
+
+
+@query("s4_read_archives", with_sql(f"select {', '.join(PLACED)} from parsed"))
+def read_archives(spark, d):
+    """Zip archives of at most one Arrow batch of lines each, expanded, parsed and typed."""
+    from tidewatch.operators.clean import parse_events
+
+    out = scratch(spark)
+
+    def archived(batches):
+        import zipfile
+
+        import pandas as pd
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        files, root = fs.FileSystem.from_uri(out)
+        files.create_dir(root, recursive=True)
+        for i, batch in enumerate(batches):
+            name = f"{TaskContext.get().partitionId():06d}_{i:06d}.export.CSV"
+            with files.open_output_stream(f"{root}/{name}.zip") as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr(name, "\n".join(batch["line"]).encode("latin-1"))
+            yield pd.DataFrame({"archive": [name]})
+
+    _lines(spark, d, readers.V2_COLUMNS).mapInPandas(archived, "archive string").write.format("noop").mode("overwrite").save()
+    return parse_events(readers.events_of_lines(readers.expand_zip_archives(spark, out))).select(*PLACED)
 
 
 @query("k1_append_new_events", with_sql("select global_event_id, event_date from facts"))
@@ -844,6 +907,21 @@ def run_summary(spark, d):
     return sinks.run_summary(n.select(F.col("event_date").alias("run_date"), F.col("n").alias("inserted"), F.when(F.col("n") % 5 != 0, "success").otherwise("failed").alias("status")))
 
 
+@query("k4_k8_audit_log", with_sql(f"select run, '{AS_OF}' as run_date, parsed, case when run = 'first' then inserted else 0 end as inserted, skipped, 'success' as status from (select unnest(['first', 'again']) as run), n_", """n_ as (select count(*) filter (global_event_id >= 1 and event_date is not null) as parsed, count(*) filter (not coalesce(global_event_id >= 1 and event_date is not null, false)) as skipped,
+  (select count(*) from (select distinct global_event_id, event_date from parsed)) as inserted from typed)"""))
+def audit_log(spark, d):
+    """The same events ingested twice, with an audit row appended for each run."""
+    from tidewatch.operators.clean import parse_counts, parse_events
+    from tidewatch.plans.fixtures import raw_events
+
+    out, log, raw = scratch(spark), scratch(spark), raw_events(spark, d)
+    counts = parse_counts(raw).first()
+    for run in ("first", "again"):
+        inserted = sinks.append_new_events(parse_events(raw), out, spark.read.parquet(out) if run == "again" else None)
+        sinks.append(sinks.audit_row(spark, run, AS_OF, counts["n_parsed"], inserted, counts["n_skipped"], 0.0, "success"), log)
+    return spark.read.parquet(log).select(F.col("run_id").alias("run"), "run_date", "parsed", "inserted", "skipped", "status")
+
+
 @query("k6_u2_missing_dates", with_sql("select distinct event_date from facts where event_date not in (select event_date from facts where global_event_id % 400 = 0)"))
 def missing_dates(spark, d):
     e = facts(spark, d)
@@ -863,7 +941,7 @@ def _stream(spark, d):
     folder = scratch(spark)
     e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 25).alias("country"), F.round("value", 0).alias("value"))
     e = e.unionByName(e.filter("event_id % 10 = 0"))
-    e.coalesce(1).write.parquet(folder)
+    e.repartitionByRange("ts").write.parquet(folder)
     return spark.readStream.schema(e.schema).parquet(folder)
 
 
@@ -885,7 +963,8 @@ def streaming_daily(spark, d):
     return spark.read.parquet(f"{path}/v{q.lastProgress['batchId']}")
 
 
-@query("x5_streaming_weekly")
+@query("x5_streaming_weekly", with_sql("""select date_trunc('week', ts)::date as week, country, count(*) as n, avg(value) as mean from (select * from ev union all select * from ev where event_id % 10 = 0)
+  where date_trunc('week', ts) + interval 7 days <= (select date_trunc('milliseconds', max(ts)) - interval 14 days from ev) group by 1, 2""", EV))
 def streaming_weekly(spark, d):
     return jobs.run_to_table(jobs.weekly_aggregate(_stream(spark, d)), scratch(spark))
 
@@ -901,6 +980,50 @@ def streaming_ingest(spark, d):
     return spark.read.parquet(out).select("global_event_id", "event_date")
 
 
+@query("x6_rows_dropped_late", with_sql("select count(*) as n_late from ev where ts <= (select date_trunc('milliseconds', max(ts)) - interval 3 days from ev)", EV))
+def late_rows(spark, d):
+    """All events land, then land once more: those behind the watermark are dropped and counted."""
+    folder, state, out = scratch(spark), scratch(spark), scratch(spark)
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    for _ in range(2):
+        e.repartitionByRange("ts").write.mode("append").parquet(folder)
+        rows = jobs.deduplicated(spark.readStream.schema(e.schema).parquet(folder))
+        q = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.range(1).select(F.lit(jobs.rows_dropped_late(q)).cast("long").alias("n_late"))
+
+
+LATE_FIRST = "select global_event_id, event_date from parsed where coalesce(action_geo_country, '') <> '' group by 1, 2"
+
+
+@query("x2_latest_first", with_sql(LATE_FIRST))
+def latest_first(spark, d):
+    """Landed files taken one at a time, the newest first."""
+    landed, out = scratch(spark), scratch(spark)
+    for part in range(3):
+        _lines(spark, d, readers.V1_COLUMNS).filter(F.pmod(F.xxhash64("line"), F.lit(3)) == part).write.mode("append").text(landed)
+    jobs.ingest(jobs.event_lines(spark, landed, 8, latest_first=True), out, scratch(spark), scratch(spark)).awaitTermination()
+    return spark.read.parquet(out).select("global_event_id", "event_date")
+
+
+LACKING = "between date '2024-01-05' and date '2024-01-12' and day({0}) % 3 <> 0"
+
+
+@query("x7_backfill_labels", with_sql(f"select * from labels_ where label_date {LACKING.format('label_date')}", LSTAT, LABELS))
+def backfilled_labels(spark, d):
+    return jobs.backfill_labels(facts(spark, d), daily(spark, d).filter("day(feature_date) % 3 = 0"), "2024-01-05", "2024-01-12")
+
+
+@query("x7_backfill_clusters", with_sql(f"select * from clusters where cluster_date {LACKING.format('cluster_date')}"))
+def backfilled_clusters(spark, d):
+    return jobs.backfill_clusters(facts(spark, d), daily(spark, d).filter("day(feature_date) % 3 = 0"), "2024-01-05", "2024-01-12")
+
+
+@query("x7_backfill_spillover", with_sql("select * from top_edges", *NET))
+def backfilled_spillover(spark, d):
+    return jobs.backfill_spillover(facts(spark, d), _adjacent(spark, d), AS_OF)
+
+
 @query("x7_backfill", with_sql("select feature_date, country, total_events, violence_score from features where feature_date between date '2024-01-05' and date '2024-01-12' and day(feature_date) % 3 <> 0"))
 def backfill(spark, d):
     f = daily(spark, d)

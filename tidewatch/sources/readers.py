@@ -83,7 +83,8 @@ def expand_zip_archives(spark: SparkSession, path: str, suffixes: tuple[str, ...
                                     if len(held) == 10_000:
                                         yield pd.DataFrame({"file": name.rsplit("/", 1)[-1], "line": held})
                                         held = []
-                                yield pd.DataFrame({"file": name.rsplit("/", 1)[-1], "line": held}, columns=["file", "line"])
+                                if held:
+                                    yield pd.DataFrame({"file": name.rsplit("/", 1)[-1], "line": held})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
     return files.mapInPandas(lines, "file string, line string")
@@ -99,12 +100,12 @@ SNAPSHOT_NAMES = ("protest", "violence", "diplo", "econ", "terror", "tone_neg",
 
 
 def read_feature_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """country, snapshot_date and seven features of ``YYYYMMDD_features.parquet`` files; f0..f6 or named columns.
+    """country, snapshot_date and seven features of ``YYYYMMDD_features.parquet`` files or folders; f0..f6 or named columns.
 
-    Unreadable files are skipped.
+    Unreadable files are skipped. A folder's name may have a prefix, as ``day=`` of a partitioned write.
     """
-    rows = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true").option("pathGlobFilter", "*_features.parquet").parquet(path)
-    date = F.try_to_date(F.substring(F.col("_metadata.file_name"), 1, 8), "yyyyMMdd")
+    rows = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true").parquet(f"{path.rstrip('/')}/*_features.parquet")
+    date = F.try_to_date(F.regexp_extract(F.col("_metadata.file_path"), r"(\d{8})_features\.parquet", 1), "yyyyMMdd")
     pick = lambda i, n: F.coalesce(*[F.col(c) for c in (n, f"f{i}") if c in rows.columns], F.lit(None)).cast("double").alias(n)
     return rows.select("country", date.alias("snapshot_date"), *[pick(i, n) for i, n in enumerate(SNAPSHOT_NAMES)])
 

@@ -39,7 +39,7 @@ def write_upsert(target_path: str, updates: DataFrame, keys: list[str], update_c
     """Upsert into a partitioned Parquet table: only partitions that have updates are read, staged and overwritten."""
     spark = updates.sparkSession
     target = spark.read.parquet(target_path)
-    touched = target.join(F.broadcast(updates.select(*partition_by).distinct()), partition_by, "left_semi") if partition_by else target
+    touched = target.join(updates.select(*partition_by).distinct(), partition_by, "left_semi") if partition_by else target
     staged = f"{target_path.rstrip('/')}__stage_{uuid.uuid4().hex}"
     upsert(touched, updates, keys, update_cols).write.parquet(staged)
     writer = spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.operators.clean import parse_events, tidy_values, valid_events
-from tidewatch.operators.features import daily_features
+from tidewatch.operators.features import daily_features, event_clusters
+from tidewatch.operators.labels import multitask_labels
+from tidewatch.operators.network import cooccurrence, risk_correlations, spillover_edges
+from tidewatch.operators.scoring import snapshot_risk
 from tidewatch.sources.readers import V1_COLUMNS, _schema
 from tidewatch.sources.sinks import append_new_events, upsert
 
@@ -89,5 +92,27 @@ def run_to_table(stream: DataFrame, checkpoint: str, mode: str = "append") -> Da
 
 def backfill(events: DataFrame, done: DataFrame, start: str, end: str) -> DataFrame:
     """Daily features of all dates in the range that ``done`` (feature_date) lacks, in one job."""
-    days = daily_features(events, start, end)
-    return days.join(done.select("feature_date").distinct(), "feature_date", "left_anti")
+    return daily_features(_lacking(events, done, "event_date", start, end))
+
+
+def _lacking(rows: DataFrame, done: DataFrame, date: str, start: str, end: str) -> DataFrame:
+    """Rows of the range's dates that ``done`` lacks."""
+    wanted = rows.filter(F.col(date).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return wanted.join(done.select(F.col("feature_date").alias(date)).distinct(), date, "left_anti")
+
+
+def backfill_labels(events: DataFrame, done: DataFrame, start: str, end: str, context_days: int = 7) -> DataFrame:
+    """Labels of the range's dates that ``done`` lacks; the days of context before each are read, whether done or not."""
+    near = events.filter(F.col("event_date").between(F.date_sub(F.lit(start).cast("date"), context_days), F.lit(end).cast("date")))
+    return _lacking(multitask_labels(near), done, "label_date", start, end)
+
+
+def backfill_clusters(events: DataFrame, done: DataFrame, start: str, end: str) -> DataFrame:
+    """Event clusters of the range's dates that ``done`` lacks."""
+    return event_clusters(_lacking(events, done, "event_date", start, end))
+
+
+def backfill_spillover(events: DataFrame, adjacent: DataFrame, end: str, days: int = 90, least: int = 20) -> DataFrame:
+    """Spillover edges as of the end of the range, from the risk of the ``days`` before it."""
+    risk = snapshot_risk(daily_features(events))
+    return spillover_edges(risk_correlations(risk, end, days, least), cooccurrence(events, 2), adjacent)

@@ -998,7 +998,7 @@ LATE_FIRST = "select global_event_id, event_date from parsed where coalesce(acti
 
 @query("x2_latest_first", with_sql(LATE_FIRST))
 def latest_first(spark, d):
-    """Landed files taken one at a time, the newest first."""
+    """Files landed in three writes, taken eight at a time, the newest first."""
     landed, out = scratch(spark), scratch(spark)
     for part in range(3):
         _lines(spark, d, readers.V1_COLUMNS).filter(F.pmod(F.xxhash64("line"), F.lit(3)) == part).write.mode("append").text(landed)

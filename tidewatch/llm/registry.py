@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import langid, licences, mixing, near_dup, pieces, pii, quality, token_files, toxicity, vector_search
+from tidewatch.llm import langid, licences, mixing, near_dup, pieces, pii, quality, runs, token_files, toxicity, vector_search
 from tidewatch.llm.common import shared_dir, table
 
 
@@ -53,6 +53,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licence_scan": op1_licence_scan,
     "op2_near_dup": op2_near_dup,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
+    "op11_runs": op11_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -72,4 +77,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_top_k": vector_search.ORACLE_SQL,
     "op9_pii": pii.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
+    "op11_runs": runs.ORACLE_SQL,
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import langid, licences, mixing, near_dup, pieces, pii, quality, runs, token_files, toxicity, vector_search
+from tidewatch.llm import langid, lexical, licences, mixing, near_dup, pieces, pii, quality, runs, token_files, toxicity, vector_search
 from tidewatch.llm.common import shared_dir, table
 
 
@@ -57,6 +57,10 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licence_scan": op1_licence_scan,
     "op2_near_dup": op2_near_dup,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
     "op11_runs": op11_runs,
+    "op12_search": op12_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -78,4 +83,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_pii": pii.ORACLE_SQL,
     "op10_mixing": mixing.ORACLE_SQL,
     "op11_runs": runs.ORACLE_SQL,
+    "op12_search": lexical.ORACLE_SQL,
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import langid, lexical, licences, mixing, near_dup, pieces, pii, quality, runs, token_files, toxicity, vector_search
+from tidewatch.llm import langid, lexical, licences, mixing, near_dup, packing, pieces, pii, quality, runs, token_files, toxicity, vector_search
 from tidewatch.llm.common import shared_dir, table
 
 
@@ -61,6 +61,10 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licence_scan": op1_licence_scan,
     "op2_near_dup": op2_near_dup,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_runs": op11_runs,
     "op12_search": op12_search,
+    "op13_packing": op13_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {

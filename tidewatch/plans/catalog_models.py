@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import api
 
-from tidewatch.operators import evaluate, features, labels, network, scoring, text, timeseries
+from tidewatch.operators import evaluate, features, labels, network, retrieval, scoring, text, timeseries
 from tidewatch.plans.catalog import COOC, KIND, LABELS, LSTAT, ORACLE_SQL, QUAD, QUERIES, TIER, WEIGHTED, _weighted, daily, query, risk
 from tidewatch.plans.fixtures import AS_OF, facts, table, with_sql
 from tidewatch.sources import readers, sinks
@@ -660,7 +660,7 @@ def tfidf_index(spark, d):
   select item_id, doc_id, round(sum(q * weight) + 1e-9, 4) as similarity from (select item_id, term, n / (sqrt(sum(n * n) over (partition by item_id)) + 1e-8) as q from (select item_id, term, count(*) as n from (select item_id, unnest({WORDS.format("text")}) as term from benchmark) group by 1, 2)
   where term in (select term from tfidf)) join tfidf using (term) group by 1, 2)) where rank <= 3 and similarity >= 0.05""", TERMS))
 def retrieve(spark, d):
-    return text.retrieve(text.tfidf_index(table(spark, d, "documents"), "doc_id"), table(spark, d, "benchmark"), "doc_id", "item_id")
+    return retrieval.retrieve(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id")
 
 
 CORPUS = """corpus_c as (select *, coalesce(avg_goldstein, 0) as g, coalesce(avg_tone, 0) as t from (select * from clusters order by total_mentions desc, country, cluster_date, category limit 500) where event_count >= 3 and total_mentions >= 10),

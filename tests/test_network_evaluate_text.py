@@ -54,3 +54,32 @@ def test_advisory(spark, score, level):
     r = text.rule_advisory(s).first()
     assert r.level == level and r.advisory_text.startswith(f"{level} RISK") and r.advisory_text.count("military") == 1 and "↑" in r.short_summary
     assert text.major_drivers(s).first().drivers == ["Material conflict events", "Political instability", "Military / armed conflict risk"]
+
+
+def test_rolling_spillover_sees_no_later_event(spark):
+    """As of each date the same as computing that date alone, and blind to what comes after it."""
+    from datetime import timedelta
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng, day = random.Random(4), date(2024, 1, 1)
+    names = ["a", "b", "c", "d"]
+    events = [(day + timedelta(rng.randrange(20)), rng.choice(names), rng.choice([*names, None]), rng.choice([1, 3, 4, None])) for _ in range(900)]
+    risks = [(n, day + timedelta(i), round(rng.random(), 6) if n != "d" else 0.5) for n in names for i in range(20) if rng.random() < 0.8]
+    e = spark.createDataFrame(events, "event_date date, actor1_country string, actor2_country string, quad_class int")
+    r = spark.createDataFrame(risks, "country string, feature_date date, risk_score double")
+    adj = spark.createDataFrame([("a", "b")], "country_a string, country_b string")
+    key = lambda rows: sorted(tuple(x) for x in rows)
+    start, end = day + timedelta(8), day + timedelta(14)
+    both = lambda e, r: (network.rolling_correlations(r, str(start), str(end), 6, 4), network.rolling_cooccurrence(e, str(start), str(end), 6, 3))
+    rolled = network.rolling_spillover(*both(e, r), adj)
+    early = network.rolling_spillover(*both(e.filter(F.col("event_date") <= end), r.filter(F.col("feature_date") <= end)), adj)
+    got = rolled.collect()
+    assert key(got) == key(early.collect()) and len({x.as_of for x in got}) == 7
+    for i in (0, 3, 6):
+        d = start + timedelta(i)
+        c, o = network.risk_correlations(r, str(d), 6, 4), network.cooccurrence(e, str(d - timedelta(6)), str(d), 3)
+        assert {(x.country_a, x.country_b) for x in c.collect()} <= {("a", "b"), ("a", "c"), ("b", "c")}
+        assert key(network.spillover_edges(c, o, adj).collect()) == key(tuple(x)[1:] for x in got if x.as_of == d)
+    assert network.rolling_spillover(*both(e.limit(0), r.limit(0)), adj).collect() == []

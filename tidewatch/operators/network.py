@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import r6
 
 
+def _correlation(x: str, y: str) -> Column:
+    """Pearson correlation; null where one of the two is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def risk_correlations(risk: DataFrame, as_of: str, window: int = 90, min_overlap: int = 30) -> DataFrame:
     """Pearson correlation of each country pair over the days that both have; a < b. A self-join on the day."""
     day = F.lit(as_of).cast("date")
@@ -15,15 +20,78 @@ def risk_correlations(risk: DataFrame, as_of: str, window: int = 90, min_overlap
     a = r.select(F.col("country").alias("country_a"), "feature_date", F.col("risk_score").alias("x"))
     b = r.select(F.col("country").alias("country_b"), F.col("feature_date").alias("d"), F.col("risk_score").alias("y"))
     pairs = a.join(b, (F.col("feature_date") == F.col("d")) & (F.col("country_a") < F.col("country_b")))
-    g = pairs.groupBy("country_a", "country_b").agg(F.count("*").alias("overlap"), F.corr("x", "y").alias("c"))
+    g = pairs.groupBy("country_a", "country_b").agg(F.count("*").alias("overlap"), _correlation("x", "y").alias("c"))
     return g.filter((F.col("overlap") >= min_overlap) & F.col("c").isNotNull() & ~F.isnan("c")).select("country_a", "country_b", "overlap", r6(F.col("c")).alias("correlation"))
 
 
-def cooccurrence(events: DataFrame, min_events: int = 5) -> DataFrame:
-    """Conflict events between two countries: directed counts of at least ``min_events``, then folded."""
+def _conflict_pairs(events: DataFrame) -> DataFrame:
+    """Conflict events between two different countries."""
     a, b = F.col("actor1_country"), F.col("actor2_country")
-    directed = events.filter(F.col("quad_class").isin(3, 4) & a.isNotNull() & b.isNotNull() & (a != b)).groupBy("actor1_country", "actor2_country").agg(F.count("*").alias("n")).filter(F.col("n") >= min_events)
-    return directed.groupBy(F.least("actor1_country", "actor2_country").alias("country_a"), F.greatest("actor1_country", "actor2_country").alias("country_b")).agg(F.sum("n").alias("events"))
+    return events.filter(F.col("quad_class").isin(3, 4) & a.isNotNull() & b.isNotNull() & (a != b))
+
+
+def _folded(directed: DataFrame, *keys: str) -> DataFrame:
+    return directed.groupBy(*keys, F.least("actor1_country", "actor2_country").alias("country_a"), F.greatest("actor1_country", "actor2_country").alias("country_b")).agg(F.sum("n").alias("events"))
+
+
+def cooccurrence(events: DataFrame, start: str, end: str, min_events: int = 5) -> DataFrame:
+    """Conflict events of the days from ``start`` to ``end`` between two countries: directed counts of at least ``min_events``, then folded."""
+    near = _conflict_pairs(events.filter(F.col("event_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))))
+    return _folded(near.groupBy("actor1_country", "actor2_country").agg(F.count("*").alias("n")).filter(F.col("n") >= min_events))
+
+
+def _rolled(daily: DataFrame, keys: list[str], date: str, start: str, end: str, days: int) -> DataFrame:
+    """keys, as_of and the sums of the other columns of ``daily`` (one row per key and date) over ``days`` before each date of
+    the range and that date itself. A key's window holds its dates and the range's, never its events."""
+    sums = [c for c in daily.columns if c not in (*keys, date)]
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    near = daily.filter(F.col(date).between(F.date_sub(first, days), last))
+    rows = near.select(*keys, F.col(date).alias("as_of"), F.lit(False).alias("asked"), *sums)
+    marks = near.select(*keys).distinct().select(*keys, F.explode(F.sequence(first, last)).alias("as_of"), F.lit(True).alias("asked"), *[F.lit(0).cast(daily.schema[c].dataType).alias(c) for c in sums])
+    w = Window.partitionBy(*keys).orderBy(F.unix_date("as_of")).rangeBetween(-days, 0)
+    return rows.unionByName(marks).select(*keys, "as_of", "asked", *[F.sum(c).over(w).alias(c) for c in sums]).filter("asked").drop("asked")
+
+
+def rolling_correlations(risk: DataFrame, start: str, end: str, days: int = 90, min_overlap: int = 30) -> DataFrame:
+    """``risk_correlations`` as of each date from ``start`` to ``end``: as_of, country_a, country_b, overlap, correlation.
+
+    Each pair's days become one row of counts and products, whose sums roll along. Risks are taken in millionths, so the
+    sums are whole numbers and don't lose digits as days leave the window.
+    """
+    r = risk.filter(F.col("risk_score").isNotNull()).select("country", "feature_date", F.round(F.col("risk_score") * 1_000_000).cast("long").alias("v"))
+    a, b = r.select(F.col("country").alias("country_a"), "feature_date", F.col("v").alias("x")), r.select(F.col("country").alias("country_b"), F.col("feature_date").alias("d"), F.col("v").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    pairs = a.join(b, (F.col("feature_date") == F.col("d")) & (F.col("country_a") < F.col("country_b"))).select(
+        "country_a", "country_b", "feature_date", F.lit(1).cast("long").alias("n"), "x", "y", (x * y).alias("xy"), (x * x).alias("xx"), (y * y).alias("yy"))
+    s = _rolled(pairs, ["country_a", "country_b"], "feature_date", start, end, days).filter(F.col("n") >= min_overlap)
+    n = F.col("n")
+    var_x, var_y = n * F.col("xx") - x * x, n * F.col("yy") - y * y
+    c = (n * F.col("xy") - x * y) / (F.sqrt(var_x.cast("double")) * F.sqrt(var_y.cast("double")))
+    return s.filter((var_x > 0) & (var_y > 0)).select("as_of", "country_a", "country_b", n.alias("overlap"), r6(c).alias("correlation"))
+
+
+def rolling_cooccurrence(events: DataFrame, start: str, end: str, days: int = 90, min_events: int = 5) -> DataFrame:
+    """``cooccurrence`` of the ``days`` up to each date from ``start`` to ``end``: as_of, country_a, country_b, events."""
+    daily = _conflict_pairs(events).groupBy("actor1_country", "actor2_country", "event_date").agg(F.count("*").alias("n"))
+    return _folded(_rolled(daily, ["actor1_country", "actor2_country"], "event_date", start, end, days).filter(F.col("n") >= min_events), "as_of")
+
+
+def rolling_spillover(correlations: DataFrame, cooccurring: DataFrame, adjacent: DataFrame, limit: int = 500) -> DataFrame:
+    """``spillover_edges`` of each as_of: co-occurrence in proportion to the date's largest, the ``limit`` heaviest a date."""
+    keys = ["as_of", "country_a", "country_b"]
+    top = F.max(F.log1p("events")).over(Window.partitionBy("as_of"))
+    c = cooccurring.select(*keys, F.when(top > 0, F.log1p("events") / top).otherwise(0.0).alias("cooc"))
+    j = correlations.select(*keys, "correlation").join(c, keys, "full").join(adjacent.select("country_a", "country_b", F.lit(True).alias("adj")), ["country_a", "country_b"], "left")
+    heaviest = Window.partitionBy("as_of").orderBy(F.desc("weight"), "country_a", "country_b")
+    return _weighted_edges(j, "as_of").withColumn("r", F.row_number().over(heaviest)).filter(F.col("r") <= limit).drop("r")
+
+
+def _weighted_edges(j: DataFrame, *keys: str) -> DataFrame:
+    """Weight from correlation and co-occurrence, either of which may be null, with a bonus for neighbours."""
+    base = 0.5 * F.abs(F.coalesce("correlation", F.lit(0.0))) + 0.5 * F.coalesce("cooc", F.lit(0.0))
+    return j.select(
+        *keys, "country_a", "country_b", r6(F.coalesce("correlation", F.lit(0.0))).alias("correlation"), r6(F.coalesce("cooc", F.lit(0.0))).alias("cooccurrence"),
+        F.coalesce("adj", F.lit(False)).alias("is_adjacent"), r6(F.when(F.col("adj"), F.least(base + 0.15, F.lit(1.0))).otherwise(base)).alias("weight"))
 
 
 def spillover_edges(correlations: DataFrame, cooccurring: DataFrame, adjacent: DataFrame, limit: int = 500) -> DataFrame:
@@ -32,9 +100,7 @@ def spillover_edges(correlations: DataFrame, cooccurring: DataFrame, adjacent: D
     c = cooccurring.withColumn("cooc", F.when(top > 0, F.log1p("events") / top).otherwise(0.0))
     j = correlations.select("country_a", "country_b", "correlation").join(c.select("country_a", "country_b", "cooc"), ["country_a", "country_b"], "full")
     j = j.join(adjacent.select("country_a", "country_b", F.lit(True).alias("adj")), ["country_a", "country_b"], "left")
-    base = 0.5 * F.abs(F.coalesce("correlation", F.lit(0.0))) + 0.5 * F.coalesce("cooc", F.lit(0.0))
-    j = j.select("country_a", "country_b", r6(F.coalesce("correlation", F.lit(0.0))).alias("correlation"), r6(F.coalesce("cooc", F.lit(0.0))).alias("cooccurrence"), F.coalesce("adj", F.lit(False)).alias("is_adjacent"), r6(F.when(F.col("adj"), F.least(base + 0.15, F.lit(1.0))).otherwise(base)).alias("weight"))
-    return j.orderBy(F.desc("weight"), "country_a", "country_b").limit(limit)
+    return _weighted_edges(j).orderBy(F.desc("weight"), "country_a", "country_b").limit(limit)
 
 
 def correlation_edges(risk: DataFrame, threshold: float = 0.25) -> DataFrame:
@@ -44,7 +110,7 @@ def correlation_edges(risk: DataFrame, threshold: float = 0.25) -> DataFrame:
     r = risk.join(full, "country").select("country", "feature_date", "risk_score")
     a = r.select(F.col("country").alias("country_a"), "feature_date", F.col("risk_score").alias("x"))
     b = r.select(F.col("country").alias("country_b"), F.col("feature_date").alias("d"), F.col("risk_score").alias("y"))
-    g = a.join(b, (F.col("feature_date") == F.col("d")) & (F.col("country_a") < F.col("country_b"))).groupBy("country_a", "country_b").agg(r6(F.corr("x", "y")).alias("weight"))
+    g = a.join(b, (F.col("feature_date") == F.col("d")) & (F.col("country_a") < F.col("country_b"))).groupBy("country_a", "country_b").agg(r6(_correlation("x", "y")).alias("weight"))
     return g.filter(F.abs("weight") >= threshold)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,24 +11,13 @@ from tidewatch.operators import evaluate, features, labels, network, retrieval,
 from tidewatch.plans.catalog import COOC, KIND, LABELS, LSTAT, ORACLE_SQL, QUAD, QUERIES, TIER, WEIGHTED, _weighted, daily, query, risk
 from tidewatch.plans.fixtures import AS_OF, facts, table, with_sql
 from tidewatch.sources import readers, sinks
+from tidewatch.sources.scratch import materialize as _kept
+from tidewatch.sources.scratch import new_path as scratch
 from tidewatch.streaming import jobs
 
 COLS = list(features.SCORES)
 
 
-def scratch(spark) -> str:
-    """A new folder under the shared checkpoint folder, or a local one where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def _kept(df):
-    """``df`` written once to the shared folder and read back: a fit reads its rows many times."""
-    out = scratch(df.sparkSession)
-    df.write.parquet(out)
-    return df.sparkSession.read.parquet(out)
-
-
 # --- windows
 
 LATEST = "latest as (select country, feature_date, risk_score from (select *, row_number() over (partition by country order by feature_date desc) as n from risk where risk_score is not null) where n = 1)"
@@ -65,7 +52,7 @@ def _correlations(spark, d):
 
 
 def _edges(spark, d):
-    return network.spillover_edges(_correlations(spark, d), network.cooccurrence(facts(spark, d), 2), _adjacent(spark, d))
+    return network.spillover_edges(_correlations(spark, d), network.cooccurrence(facts(spark, d), "2024-01-10", AS_OF, 2), _adjacent(spark, d))
 
 
 @query("j5_risk_correlations", with_sql("select * from corr_", CORR))
@@ -1019,9 +1006,40 @@ def backfilled_clusters(spark, d):
     return jobs.backfill_clusters(facts(spark, d), daily(spark, d).filter("day(feature_date) % 3 = 0"), "2024-01-05", "2024-01-12")
 
 
-@query("x7_backfill_spillover", with_sql("select * from top_edges", *NET))
+ROLLED = """dates_ as (select unnest(generate_series(timestamp '2024-01-16', timestamp '2024-01-30', interval 1 day))::date as as_of),
+rc as (select as_of, a.country as country_a, b.country as country_b, count(*) as overlap, corr(a.risk_score, b.risk_score) as c from dates_ join risk a on a.feature_date between as_of - 14 and as_of
+  join risk b on a.feature_date = b.feature_date and a.country < b.country group by 1, 2, 3 having count(*) >= 10),
+rolled_corr as (select as_of, country_a, country_b, overlap, round(c + 1e-9, 6) as correlation from rc where c is not null and not isnan(c)),
+rolled_cooc as (select as_of, least(a, b) as country_a, greatest(a, b) as country_b, sum(n)::bigint as events from (select as_of, actor1_country as a, actor2_country as b, count(*) as n from dates_ join facts on event_date between as_of - 14 and as_of
+  where quad_class in (3, 4) and actor2_country is not null and actor1_country <> actor2_country group by 1, 2, 3 having count(*) >= 2) group by 1, 2, 3),
+rolled as (select as_of, coalesce(r.country_a, o.country_a) as country_a, coalesce(r.country_b, o.country_b) as country_b, coalesce(correlation, 0) as correlation, coalesce(cooc, 0) as cooc
+  from rolled_corr r full join (select *, ln(1 + events) / max(ln(1 + events)) over (partition by as_of) as cooc from rolled_cooc) o using (as_of, country_a, country_b)),
+rolled_edges as (select rolled.*, adj.country_a is not null as is_adjacent, 0.5 * abs(correlation) + 0.5 * cooc as base from rolled left join adj using (country_a, country_b)),
+rolled_top as (select as_of, country_a, country_b, correlation, round(cooc + 1e-9, 6) as cooccurrence, is_adjacent, round(case when is_adjacent then least(base + 0.15, 1) else base end + 1e-9, 6) as weight from rolled_edges
+  qualify row_number() over (partition by as_of order by round(case when is_adjacent then least(base + 0.15, 1) else base end + 1e-9, 6) desc, country_a, country_b) <= 200)"""
+
+
+@query("j5_rolling_correlations", with_sql("select * from rolled_corr", ROLLED.split(",\nrolled_cooc as")[0]))
+def rolling_correlations(spark, d):
+    return network.rolling_correlations(risk(spark, d), "2024-01-16", AS_OF, 14, 10)
+
+
+@query("g18_rolling_cooccurrence", with_sql("select * from rolled_cooc", ROLLED.split(",\nrolled as")[0]))
+def rolling_cooccurrence(spark, d):
+    return network.rolling_cooccurrence(facts(spark, d), "2024-01-16", AS_OF, 14, 2)
+
+
+@query("j6_rolling_spillover", with_sql("select * from rolled_top", ADJ, ROLLED))
+def rolling_spillover(spark, d):
+    f = facts(spark, d)
+    c, o = network.rolling_correlations(risk(spark, d), "2024-01-16", AS_OF, 14, 10), network.rolling_cooccurrence(f, "2024-01-16", AS_OF, 14, 2)
+    return network.rolling_spillover(c, o, _adjacent(spark, d), 200)
+
+
+@query("x7_backfill_spillover", with_sql("select * from rolled_top where day(as_of) % 3 <> 0", ADJ, ROLLED.replace("<= 200)", "<= 500)")))
 def backfilled_spillover(spark, d):
-    return jobs.backfill_spillover(facts(spark, d), _adjacent(spark, d), AS_OF)
+    done = spark.sql("select explode(sequence(date'2024-01-16', date'2024-01-30')) as as_of").filter("day(as_of) % 3 = 0")
+    return jobs.backfill_spillover(facts(spark, d), _adjacent(spark, d), done, "2024-01-16", AS_OF, 14, 10)
 
 
 @query("x7_backfill", with_sql("select feature_date, country, total_events, violence_score from features where feature_date between date '2024-01-05' and date '2024-01-12' and day(feature_date) % 3 <> 0"))

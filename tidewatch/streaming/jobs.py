@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewatch.operators.clean import parse_events, tidy_values, valid_events
 from tidewatch.operators.features import daily_features, event_clusters
 from tidewatch.operators.labels import multitask_labels
-from tidewatch.operators.network import cooccurrence, risk_correlations, spillover_edges
+from tidewatch.operators.network import rolling_cooccurrence, rolling_correlations, rolling_spillover
 from tidewatch.operators.scoring import snapshot_risk
 from tidewatch.sources.readers import V1_COLUMNS, _schema
 from tidewatch.sources.sinks import append_new_events, upsert
@@ -112,7 +112,12 @@ def backfill_clusters(events: DataFrame, done: DataFrame, start: str, end: str)
     return event_clusters(_lacking(events, done, "event_date", start, end))
 
 
-def backfill_spillover(events: DataFrame, adjacent: DataFrame, end: str, days: int = 90, least: int = 20) -> DataFrame:
-    """Spillover edges as of the end of the range, from the risk of the ``days`` before it."""
-    risk = snapshot_risk(daily_features(events))
-    return spillover_edges(risk_correlations(risk, end, days, least), cooccurrence(events, 2), adjacent)
+def backfill_spillover(events: DataFrame, adjacent: DataFrame, done: DataFrame, start: str, end: str, days: int = 90, least: int = 20, min_events: int = 2) -> DataFrame:
+    """Spillover edges as of each date from ``start`` to ``end`` that ``done`` (as_of) lacks, in one job.
+
+    A date's edges come from the ``days`` before it and that day alone, whatever was recorded later.
+    """
+    near = events.filter(F.col("event_date").between(F.date_sub(F.lit(start).cast("date"), days), F.lit(end).cast("date")))
+    lacking = lambda rows: rows.join(done.select("as_of").distinct(), "as_of", "left_anti")
+    c = rolling_correlations(snapshot_risk(daily_features(near)), start, end, days, least)
+    return rolling_spillover(lacking(c), lacking(rolling_cooccurrence(near, start, end, days, min_events)), adjacent)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidewatch import api
 
-from tidewatch.operators import evaluate, features, labels, network, retrieval, scoring, text, timeseries
+from tidewatch.operators import backtest, evaluate, features, labels, network, retrieval, scoring, text, timeseries
 from tidewatch.plans.catalog import COOC, KIND, LABELS, LSTAT, ORACLE_SQL, QUAD, QUERIES, TIER, WEIGHTED, _weighted, daily, query, risk
 from tidewatch.plans.fixtures import AS_OF, facts, table, with_sql
 from tidewatch.sources import readers, sinks
@@ -522,6 +524,61 @@ def attributions(spark, d):
     return scoring.attribute_features(daily(spark, d), WEIGHTS, dict.fromkeys(WEIGHTS, 0.1))
 
 
+WALK = """steps_ as (select country, feature_date, risk_score, dense_rank() over (order by feature_date) as step from risk),
+pairs_ as (select s.country, s.step, s.feature_date, s.risk_score as x, h.h, t.risk_score as y from steps_ s cross join (values (1), (3), (7)) h(h) left join steps_ t on t.country = s.country and t.step = s.step + h.h),
+dates_ as (select distinct step, feature_date from steps_),"""
+WALKED = WALK + """
+fits as (select p.step, s.h, regr_slope(s.y, s.x) as b, regr_intercept(s.y, s.x) as a from dates_ p join pairs_ s on s.step + s.h <= p.step where s.y is not null group by 1, 2 having count(*) > 2),
+walked as (select country, p.feature_date as pivot_date, p.step::int as fold, p.x as origin_risk, h as horizon, d.feature_date as target_date, round(least(greatest(coalesce(a + b * p.x, p.x), 0), 1) + 1e-9, 6) as predicted, p.y as actual
+  from pairs_ p join fits using (step, h) left join dates_ d on d.step = p.step + h where p.step > 14)"""
+
+
+def _snapshots(spark, d):
+    return risk(spark, d).withColumnRenamed("feature_date", "snapshot_date")
+
+
+@query("f12_walk_forward_fitted", with_sql("select * from walked", WALKED))
+def walk_forward_fitted(spark, d):
+    return backtest.walk_forward(_snapshots(spark, d), "risk_score", 1, (1, 3, 7), 14, 0.0)
+
+
+@query("f12_walk_forward_metrics", with_sql("""select horizon, count(*) as n, round(avg(abs(actual - predicted)) + 1e-9, 4) as mae, round(sqrt(avg((actual - predicted) * (actual - predicted))) + 1e-9, 4) as rmse,
+  round(case when avg(abs(actual - origin_risk)) = 0 then 0 else 1 - avg(abs(actual - predicted)) / avg(abs(actual - origin_risk)) end + 1e-9, 4) as skill from walked where actual is not null group by 1""", WALKED))
+def walk_forward_metrics(spark, d):
+    scored = walk_forward_fitted(spark, d).withColumn("horizon_days", F.col("horizon")).withColumns({"lower": F.lit(0.0), "upper": F.lit(1.0)})
+    return evaluate.horizon_metrics(scored).select(F.col("horizon_days").alias("horizon"), "n", "mae", "rmse", "skill")
+
+
+@query("f12_walk_forward_contexts")
+def walk_forward_contexts(spark, d):
+    """Six snapshots of context; against a refit of each fold in the tests."""
+    return backtest.walk_forward(_snapshots(spark, d), "risk_score", 6, (1, 2, 3, 4), 14)
+
+
+BOOT = WALK + """
+u as (select p.*, r.r, ('0x' || substr(md5(country || '|' || step || '|' || r.r), 1, 8))::ubigint as u from pairs_ p cross join range(1, 9) r(r)),
+wt as (select *, case """ + " ".join(f"when u < {int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**32)} then {k}" for k in range(8)) + """ else 8 end as w from u where y is not null),
+bsums as (select p.step, s.h, s.r, sum(w) as n, sum(w * x) as sx, sum(w * x * x) as sxx, sum(w * y) as sy, sum(w * x * y) as sxy from dates_ p join wt s on s.step + s.h <= p.step group by 1, 2, 3 having sum(w) > 2),
+bfits as (select step, h, r, (n * sxy - sx * sy) / (n * sxx - sx * sx) as b, (sy - (n * sxy - sx * sy) / (n * sxx - sx * sx) * sx) / n as a from bsums),
+boot as (select country, p.feature_date as pivot_date, p.step, p.x as origin_risk, h as horizon, p.y as actual, round(least(greatest(coalesce(a + b * p.x, p.x), 0), 1) + 1e-9, 6) as predicted from pairs_ p join bfits using (step, h) where p.step > 14),
+ens as (select country, pivot_date, horizon, actual, avg(predicted) as m, var_samp(predicted) as v from boot group by country, pivot_date, horizon, actual)"""
+
+
+def _bootstrap(spark, d):
+    return backtest.bootstrap_intervals(backtest.bootstrap_forecasts(_snapshots(spark, d), "risk_score", 8, 1, (1, 3, 7), 14, 0.0))
+
+
+@query("g28_bootstrap_intervals", with_sql("""select country, pivot_date, horizon, actual, round(m + 1e-9, 6) as predicted, round(greatest(m - 1.28 * sqrt(v), 0) + 1e-9, 6) as lower, round(least(m + 1.28 * sqrt(v), 1) + 1e-9, 6) as upper from ens""", BOOT))
+def bootstrap_intervals(spark, d):
+    return _bootstrap(spark, d).select("country", "pivot_date", "horizon", "actual", "predicted", "lower", "upper")
+
+
+@query("g26_bootstrap_coverage", with_sql("select horizon, count(*) as n, round(avg(case when actual between round(greatest(m - 1.28 * sqrt(v), 0) + 1e-9, 6) and round(least(m + 1.28 * sqrt(v), 1) + 1e-9, 6) then 1.0::double else 0 end) + 1e-9, 4) as coverage from ens where actual is not null group by 1", BOOT))
+def bootstrap_coverage(spark, d):
+    report = evaluate.horizon_metrics(_bootstrap(spark, d).withColumn("horizon_days", F.col("horizon")))
+    return report.select(F.col("horizon_days").alias("horizon"), "n", "coverage")
+
+
 @query("f8_fit_forecaster")
 def fitted_forecasts(spark, d):
     s = daily(spark, d).withColumnRenamed("feature_date", "snapshot_date")

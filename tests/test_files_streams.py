@@ -10,6 +10,8 @@ import __spark_entry__
 from tidewatch.operators import labels, scoring
 from tidewatch.plans import catalog_models
 from tidewatch.sources import readers, sinks
+from tidewatch.sources.history import History
+from tidewatch.sources.versioned import VersionedTable
 from tidewatch.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -89,8 +91,8 @@ def test_stream_ingests_once(spark, tmp_path):
     jobs.ingest(jobs.event_lines(spark, landed), out, audit, state).awaitTermination()
     put("b.csv", 2, 3)
     jobs.ingest(jobs.event_lines(spark, landed), out, audit, state).awaitTermination()
-    assert sorted(r.global_event_id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
-    assert sorted(r.inserted for r in spark.read.parquet(audit).collect()) == [1, 2]
+    assert sorted(r.global_event_id for r in History(spark, out).read().collect()) == [1, 2, 3]
+    assert sorted(r.inserted for r in VersionedTable(spark, audit, []).read().collect()) == [1, 2]
 
 
 def test_late_rows_are_counted(spark, tmp_path):

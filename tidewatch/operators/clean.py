@@ -11,8 +11,8 @@ TEXTS = ("actor1_code", "actor1_name", "actor1_country_code", "actor1_type1_code
 RENAMED = {"actor1_country_code": "actor1_country", "actor2_country_code": "actor2_country", "actor1_type1_code": "actor1_type1", "actor2_type1_code": "actor2_type1", "action_geo_country_code": "action_geo_country"}
 
 
-def typed_events(raw: DataFrame) -> DataFrame:
-    """The 23 typed columns of raw all-text rows; columns that ``raw`` lacks are null."""
+def typed_events(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The 23 typed columns of raw all-text rows, and the columns ``keep`` as they are; columns that ``raw`` lacks are null."""
     c = lambda name: F.col(name) if name in raw.columns else F.lit(None).cast("string")
     counts = {n: F.coalesce(clean_int(c(n)), F.lit(0)) for n in ("num_mentions", "num_sources", "num_articles")}
     return raw.select(
@@ -24,7 +24,7 @@ def typed_events(raw: DataFrame) -> DataFrame:
         *[v.alias(k) for k, v in counts.items()],
         clean_double(c("avg_tone")).alias("avg_tone"),
         clean_double(c("action_geo_lat")).alias("latitude"),
-        clean_double(c("action_geo_long")).alias("longitude"),
+        clean_double(c("action_geo_long")).alias("longitude"), *keep,
     )
 
 
@@ -32,8 +32,8 @@ def _valid(t: DataFrame):
     return (F.coalesce(F.col("global_event_id"), F.lit(0)) >= 1) & F.col("event_date").isNotNull()
 
 
-def parse_events(raw: DataFrame) -> DataFrame:
-    t = typed_events(raw)
+def parse_events(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    t = typed_events(raw, keep)
     return t.filter(_valid(t))
 
 

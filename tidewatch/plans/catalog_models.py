@@ -13,8 +13,10 @@ from tidewatch.operators import backtest, evaluate, features, labels, network, r
 from tidewatch.plans.catalog import COOC, KIND, LABELS, LSTAT, ORACLE_SQL, QUAD, QUERIES, TIER, WEIGHTED, _weighted, daily, query, risk
 from tidewatch.plans.fixtures import AS_OF, facts, table, with_sql
 from tidewatch.sources import readers, sinks
+from tidewatch.sources.history import History
 from tidewatch.sources.scratch import materialize as _kept
 from tidewatch.sources.scratch import new_path as scratch
+from tidewatch.sources.versioned import VersionedTable
 from tidewatch.streaming import jobs
 
 COLS = list(features.SCORES)
@@ -863,46 +865,65 @@ def read_polecat(spark, d):
     return features.polecat_daily_features(readers.read_polecat(spark, out).withColumnRenamed("iso3", "country"))
 
 
-@query("s4_read_archives", with_sql(f"select {', '.join(PLACED)} from parsed"))
-def read_archives(spark, d):
-    """Zip archives of at most one Arrow batch of lines each, expanded, parsed and typed."""
-    from tidewatch.operators.clean import parse_events
+#: Files of at most so many event ids.
+FILE_IDS = 500
+FILE_STAMP = "strftime(timestamp '2024-01-01' + interval 15 minutes * (arrival % 10000000 // 500), '%Y%m%d%H%M%S')"
 
-    out = scratch(spark)
 
-    def archived(batches):
+def _archives(spark, d):
+    """Zip archives of the raw events by id, with names of time stamps 15 minutes apart, and a manifest that lists them."""
+    from tidewatch.plans.fixtures import raw_events
+
+    root, listing, raw = scratch(spark), scratch(spark), raw_events(spark, d)
+    line = F.concat_ws("\t", *[F.coalesce(F.col(c), F.lit("")) if c in raw.columns else F.lit("") for c in readers.V2_COLUMNS])
+    stamp = F.date_format(F.expr(f"timestamp'2024-01-01' + make_dt_interval(0, 0, 15) * (arrival % 10000000 div {FILE_IDS})"), "yyyyMMddHHmmss")
+
+    def archived(rows):
         import zipfile
 
         import pandas as pd
         from pyarrow import fs
-        from pyspark import TaskContext
 
-        files, root = fs.FileSystem.from_uri(out)
-        files.create_dir(root, recursive=True)
-        for i, batch in enumerate(batches):
-            name = f"{TaskContext.get().partitionId():06d}_{i:06d}.export.CSV"
-            with files.open_output_stream(f"{root}/{name}.zip") as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr(name, "\n".join(batch["line"]).encode("latin-1"))
-            yield pd.DataFrame({"archive": [name]})
+        files, place = fs.FileSystem.from_uri(root)
+        files.create_dir(place, recursive=True)
+        name, half = f"{rows['stamp'].iloc[0]}.export.CSV", len(rows) // 2
+        with files.open_output_stream(f"{place}/{name}.zip") as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(name, "\n".join(rows["line"][:half]).encode("latin-1"))
+            z.writestr(f"more_{name}", "\n".join(rows["line"][half:]).encode("latin-1"))
+        return pd.DataFrame({"value": [f"{len(rows)} hash http://files.example/v2/{name}.zip"]})
+
+    raw.select(stamp.alias("stamp"), line.alias("line")).groupBy("stamp").applyInPandas(archived, "value string").write.text(listing)
+    return root, listing
+
 
-    _lines(spark, d, readers.V2_COLUMNS).mapInPandas(archived, "archive string").write.format("noop").mode("overwrite").save()
-    return parse_events(readers.events_of_lines(readers.expand_zip_archives(spark, out))).select(*PLACED)
+@query("s4_read_archives", with_sql(f"select {', '.join(PLACED)} from parsed"))
+def read_archives(spark, d):
+    """Zip archives with two members each, read by member, parsed and typed."""
+    from tidewatch.operators.clean import parse_events
+
+    return parse_events(readers.events_of_lines(readers.expand_zip_archives(spark, _archives(spark, d)[0]))).select(*PLACED)
 
 
 @query("k1_append_new_events", with_sql("select global_event_id, event_date from facts"))
 def append_new_events(spark, d):
-    out, e = scratch(spark), facts(spark, d)
-    sinks.append_new_events(e.filter("num_mentions < 60"), out, None)
-    sinks.append_new_events(e.filter("num_mentions >= 40"), out, spark.read.parquet(out))
-    return spark.read.parquet(out).select("global_event_id", "event_date")
+    """Two overlapping batches into an event history."""
+    h, e = History(spark, scratch(spark)), facts(spark, d)
+    h.append(e.filter("num_mentions < 60"))
+    h.append(e.filter("num_mentions >= 40"))
+    return h.read().select("global_event_id", "event_date")
 
 
 @query("k2_upsert", with_sql("select country, feature_date, case when day(feature_date) % 2 = 0 then total_events + 1000 else total_events end as total_events, case when day(feature_date) <= 20 then 0.5::double end as risk_score from features"))
 def upsert(spark, d):
-    f = daily(spark, d).select("country", "feature_date", "total_events")
-    target = f.filter("day(feature_date) <= 20").withColumn("risk_score", F.lit(0.5))
-    updates = f.filter("day(feature_date) % 2 = 0").withColumn("total_events", F.col("total_events") + 1000).unionByName(f.filter("day(feature_date) > 20 and day(feature_date) % 2 = 1"))
-    return sinks.upsert(target, updates, ["country", "feature_date"], ["total_events"])
+    """Three commits to a versioned table by day, compacted and freed of old versions."""
+    f, t = daily(spark, d).select("country", "feature_date", "total_events"), VersionedTable(spark, scratch(spark), ["feature_date"])
+    t.append(f.filter("day(feature_date) <= 20").withColumn("risk_score", F.lit(0.5)))
+    keys = ["country", "feature_date"]
+    t.upsert(f.filter("day(feature_date) % 2 = 0").withColumn("total_events", F.col("total_events") + 1000), keys, ["total_events"])
+    t.append(f.filter("day(feature_date) > 20 and day(feature_date) % 2 = 1").withColumn("risk_score", F.lit(None).cast("double")))
+    t.compact()
+    t.vacuum()
+    return t.read().select("country", "feature_date", "total_events", "risk_score")
 
 
 @query("k3_monthly_facts", with_sql("select strftime(event_date, '%Y-%m') as event_month, count(*) as n from facts group by 1"))
@@ -1002,9 +1023,8 @@ def streaming_dedup(spark, d):
 def streaming_daily(spark, d):
     path = scratch(spark)
     stream = jobs.daily_counts(jobs.deduplicated(_stream(spark, d)), watermarked=True)
-    q = jobs.upsert_batches(stream, path, ["day", "country"], scratch(spark))
-    q.awaitTermination()
-    return spark.read.parquet(f"{path}/v{q.lastProgress['batchId']}")
+    jobs.upsert_batches(stream, path, ["day", "country"], scratch(spark)).awaitTermination()
+    return VersionedTable(spark, path, ["day"]).read().select("day", "country", "n", "total")
 
 
 @query("x5_streaming_weekly", with_sql("""select date_trunc('week', ts)::date as week, country, count(*) as n, avg(value) as mean from (select * from ev union all select * from ev where event_id % 10 = 0)
@@ -1021,7 +1041,34 @@ def streaming_ingest(spark, d):
     landed, out, raw = scratch(spark), scratch(spark), raw_events(spark, d)
     raw.select(F.concat_ws("\t", *[F.coalesce(F.col(c), F.lit("")) if c in raw.columns else F.lit("") for c in readers.V1_COLUMNS]).alias("line")).repartition(4, "line").write.text(landed)
     jobs.ingest(jobs.event_lines(spark, landed, 2), out, scratch(spark), scratch(spark)).awaitTermination()
-    return spark.read.parquet(out).select("global_event_id", "event_date")
+    return History(spark, out).read().select("global_event_id", "event_date")
+
+
+PER_ROUND = 8
+
+
+def _ingested(spark, d, latest_first):
+    root, listing = _archives(spark, d)
+    job = jobs.ManifestIngest(spark, listing, root, scratch(spark), latest_first=latest_first, per_round=PER_ROUND)
+    job.run_all()
+    return job
+
+
+@query("x1_manifest_ingest", with_sql("select global_event_id, event_date from parsed where coalesce(action_geo_country, '') <> '' group by 1, 2"))
+def manifest_ingest(spark, d):
+    """Archives named by a manifest, taken in rounds until none is pending."""
+    return _ingested(spark, d, False).history.read().select("global_event_id", "event_date")
+
+
+@query("x2_manifest_rounds", with_sql(f"""select 'http://files.example/v2/' || stamp || '.export.CSV.zip' as file_url, ((row_number() over (order by stamp desc) - 1) // {PER_ROUND} + 1)::int as round, 'done' as status, 1 as attempts
+  from (select distinct {FILE_STAMP} as stamp from raw)"""))
+def manifest_rounds(spark, d):
+    """The round in which each file was taken, the latest first, and what the ledger says of it."""
+    from tidewatch.sources.manifest import round_files, round_numbers
+
+    job = _ingested(spark, d, True)
+    taken = spark.createDataFrame([(u, n) for n in round_numbers(job.rounds) for u in round_files(job.rounds, n)], "file_url string, round int")
+    return job.ledger.read().join(taken, "file_url").select("file_url", "round", "status", "attempts")
 
 
 @query("x6_rows_dropped_late", with_sql("select count(*) as n_late from ev where ts <= (select date_trunc('milliseconds', max(ts)) - interval 3 days from ev)", EV))
@@ -1047,7 +1094,7 @@ def latest_first(spark, d):
     for part in range(3):
         _lines(spark, d, readers.V1_COLUMNS).filter(F.pmod(F.xxhash64("line"), F.lit(3)) == part).write.mode("append").text(landed)
     jobs.ingest(jobs.event_lines(spark, landed, 8, latest_first=True), out, scratch(spark), scratch(spark)).awaitTermination()
-    return spark.read.parquet(out).select("global_event_id", "event_date")
+    return History(spark, out).read().select("global_event_id", "event_date")
 
 
 LACKING = "between date '2024-01-05' and date '2024-01-12' and day({0}) % 3 <> 0"

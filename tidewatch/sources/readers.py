@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.sources.manifest import ManifestFiles
+
 # The positional columns of raw event lines.
 _ACTOR = ("code", "name", "country_code", "known_group_code", "ethnic_code", "religion1_code", "religion2_code", "type1_code", "type2_code", "type3_code")
 _EVENT = ("is_root_event", "event_code", "event_base_code", "event_root_code", "quad_class", "goldstein_scale", "num_mentions", "num_sources", "num_articles", "avg_tone")
@@ -65,35 +62,17 @@ def read_polecat(spark: SparkSession, path: str, years: list[int] | None = None,
 
 
 def expand_zip_archives(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".csv", ".txt")) -> DataFrame:
-    """file and line of every text member of the zip archives at ``path``; one archive per task, streamed line by line.
+    """file and line of every text member of the zip archives in the folder ``path``. Each member is a task of its own that
+    streams it by range reads; suffixes are matched without regard to case, and what can't be read raises."""
+    spark.dataSource.register(ManifestFiles)
+    rows = spark.read.format("manifest_files").option("path", path).option("names", "*.zip").option("suffixes", ",".join(suffixes)).load()
+    return rows.select(F.element_at(F.split("file_url", "/"), -1).alias("file"), "line")
 
-    Members are matched without regard to case.
-    """
 
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for member in z.namelist():
-                        if member.lower().endswith(suffixes):
-                            with io.TextIOWrapper(z.open(member), "latin-1") as f:
-                                held: list[str] = []
-                                for line in f:
-                                    held.append(line.rstrip("\r\n"))
-                                    if len(held) == 10_000:
-                                        yield pd.DataFrame({"file": name.rsplit("/", 1)[-1], "line": held})
-                                        held = []
-                                if held:
-                                    yield pd.DataFrame({"file": name.rsplit("/", 1)[-1], "line": held})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    return files.mapInPandas(lines, "file string, line string")
-
-
-def events_of_lines(lines: DataFrame, columns: list[str] = V2_COLUMNS, least: int = 58) -> DataFrame:
-    """Raw text columns of expanded archive lines."""
+def events_of_lines(lines: DataFrame, columns: list[str] = V2_COLUMNS, least: int = 58, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Raw text columns of expanded archive lines, and the columns ``keep`` as they are."""
     parts = F.split("line", "\t", -1)
-    return lines.filter(F.size(parts) >= least).select(*[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)])
+    return lines.filter(F.size(parts) >= least).select(*[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)], *keep)
 
 
 SNAPSHOT_NAMES = ("protest", "violence", "diplo", "econ", "terror", "tone_neg", "goldstein_norm")

@@ -99,8 +99,8 @@ class VersionedTable:
         parts = dict(state["parts"])
         if state["schema"]:
             old = self._rows(state, parts)
-            touched = [tuple(r) for r in rows.select(*self.partition_by).distinct().collect()]
-            near = F.lit(False)
+            touched = [tuple(r) for r in rows.select(*self.partition_by).distinct().collect()] if self.partition_by else []
+            near = F.lit(not self.partition_by)
             for values in touched:
                 same = F.lit(True)
                 for c, v in zip(self.partition_by, values):

@@ -13,8 +13,11 @@ from tidewatch.operators.features import daily_features, event_clusters
 from tidewatch.operators.labels import multitask_labels
 from tidewatch.operators.network import rolling_cooccurrence, rolling_correlations, rolling_spillover
 from tidewatch.operators.scoring import snapshot_risk
-from tidewatch.sources.readers import V1_COLUMNS, _schema
-from tidewatch.sources.sinks import append_new_events, upsert
+from tidewatch.sources.history import History
+from tidewatch.sources.manifest import ManifestFiles, round_files, round_numbers, write_round
+from tidewatch.sources.readers import V1_COLUMNS, V2_COLUMNS, _schema, events_of_lines, read_file_manifest
+from tidewatch.sources.scratch import materialize
+from tidewatch.sources.versioned import VersionedTable
 
 
 def event_lines(spark: SparkSession, path: str, max_files: int | None = None, latest_first: bool = False) -> DataFrame:
@@ -24,27 +27,94 @@ def event_lines(spark: SparkSession, path: str, max_files: int | None = None, la
 
 
 def ingest(lines: DataFrame, out: str, audit: str, checkpoint: str, min_date: str = "2020-01-01") -> StreamingQuery:
-    """Parse, validate, drop known events and append, once per file; one audit row per batch.
+    """Parse, validate and append what the history at ``out`` lacks, once per file; one audit row per batch.
 
-    A batch that is run again after a failure finds its rows in ``out`` already, so nothing is inserted twice.
+    History and audit remember the batch, so one that is run again after a failure adds nothing to either.
     """
+    spark = lines.sparkSession
+    history, log = History(spark, out), VersionedTable(spark, audit, [])
 
     def batch(raw: DataFrame, batch_id: int) -> None:
-        spark = raw.sparkSession
         events = tidy_values(valid_events(parse_events(raw), min_date))
-        try:
-            history = spark.read.parquet(out)
-            history.columns
-        except Exception as e:  # no output yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            history = None
-        inserted = append_new_events(events, out, history)
-        spark.createDataFrame([(batch_id, inserted)], "batch_id long, inserted long").write.mode("append").parquet(audit)
+        inserted = history.append(events, "batches", batch_id)
+        log.append(spark.createDataFrame([(batch_id, inserted)], "batch_id long, inserted long"), "batches", batch_id)
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+LEDGER = "file_url string, file_ts timestamp, status string, events long, attempts int, error string"
+
+
+class ManifestIngest:
+    """Files of a manifest, taken in rounds into an event history, with a ledger of what became of each.
+
+    A round holds up to ``per_round`` pending files, the oldest or the latest first, and before them those that failed fewer
+    than ``attempts`` times. A file counts whole or not at all: one that can't be read to its end leaves no event. Everything under ``out``
+    is idempotent by round, so a run that dies goes on with its round.
+    """
+
+    def __init__(self, spark: SparkSession, manifest: str, root: str, out: str, latest_first: bool = False, per_round: int = 50, attempts: int = 3, min_date: str = "2020-01-01"):
+        self.spark, self.manifest, self.root, self.out = spark, manifest, root, out.rstrip("/")
+        self.latest_first, self.per_round, self.attempts, self.min_date = latest_first, per_round, attempts, min_date
+        self.rounds = f"{self.out}/rounds"
+        self.ledger, self.history = VersionedTable(spark, f"{self.out}/ledger", []), History(spark, f"{self.out}/events")
+        spark.dataSource.register(ManifestFiles)
+
+    def registered(self) -> DataFrame:
+        """The ledger, with the manifest's unknown files as pending."""
+        known = self.ledger.read()
+        if known is None:
+            known = self.spark.createDataFrame([], LEDGER)
+        listed = read_file_manifest(self.spark, self.manifest).dropDuplicates(["file_url"])
+        fresh = listed.join(known.select("file_url"), "file_url", "left_anti")
+        empty = {"status": F.lit("pending"), "events": F.lit(0).cast("long"), "attempts": F.lit(0), "error": F.lit(None).cast("string")}
+        return known.unionByName(fresh.withColumns(empty))
+
+    def plan(self) -> list[str]:
+        """Register, and write the next round unless one is under way; its files, none if nothing is left."""
+        number = max(round_numbers(self.rounds), default=0)
+        if number > self.ledger.state()["batches"].get("rounds", 0):
+            return round_files(self.rounds, number)
+        rows = materialize(self.registered())
+        failed = rows.filter((F.col("status") == "error") & (F.col("attempts") < self.attempts)).orderBy("file_ts", "file_url")
+        pending = rows.filter("status = 'pending'").orderBy(F.desc("file_ts") if self.latest_first else F.asc("file_ts"), "file_url").limit(self.per_round)
+        urls = [r.file_url for part in (failed.limit(self.per_round), pending) for r in part.select("file_url").collect()][: self.per_round]
+        if urls:
+            self.ledger.upsert(rows, ["file_url"], [])
+            write_round(self.spark, self.rounds, number + 1, urls)
+        return urls
+
+    def run(self) -> int:
+        """Take one round; how many files it had."""
+        urls = self.plan()
+        if urls:
+            lines = self.spark.readStream.format("manifest_files").option("rounds", self.rounds).option("root", self.root).load()
+            lines.writeStream.foreachBatch(self._batch).option("checkpointLocation", f"{self.out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        return len(urls)
+
+    def run_all(self) -> int:
+        """Catch up: rounds until none is left; how many."""
+        n = 0
+        while self.run():
+            n += 1
+        return n
+
+    def _batch(self, lines: DataFrame, batch_id: int) -> None:
+        number = batch_id + 1  # a round is a batch
+        lines = materialize(lines)
+        wanted = self.spark.createDataFrame([(u,) for u in round_files(self.rounds, number)], "file_url string")
+        bad = lines.filter("error is not null").groupBy("file_url").agg(F.substring(F.min("error"), 1, 500).alias("error"))
+        whole = lines.join(bad.select("file_url"), "file_url", "left_anti")
+        raw = events_of_lines(whole, V2_COLUMNS, keep=("file_url",))
+        events = tidy_values(valid_events(parse_events(raw, keep=("file_url",)), self.min_date))
+        self.history.append(events, "rounds", number)
+        added = self.history.read().join(F.broadcast(wanted), "file_url").groupBy("file_url").agg(F.count("*").alias("n"))
+        known = self.ledger.read().select("file_url", "attempts")
+        results = wanted.join(bad, "file_url", "left").join(added, "file_url", "left").join(known, "file_url").select(
+            "file_url", F.when(F.col("error").isNull(), "done").otherwise("error").alias("status"), F.coalesce("n", F.lit(0)).cast("long").alias("events"), (F.col("attempts") + 1).alias("attempts"), "error")
+        self.ledger.upsert(results, ["file_url"], ["status", "events", "attempts", "error"], "rounds", number)
+
+
 def deduplicated(events: DataFrame, ts: str = "ts", key: str = "event_id", days: int = 3) -> DataFrame:
     """The first row of each key; state is kept for ``days``."""
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, f"{days} days").dropDuplicatesWithinWatermark([key])
@@ -64,16 +134,13 @@ def weekly_aggregate(events: DataFrame, ts: str = "ts", key: str = "country", la
     return g.select(F.col("window.start").cast("date").alias("week"), key, "n", "mean")
 
 
-def upsert_batches(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Update-mode results folded into a Parquet table by key; replaying a batch gives the same table."""
+def upsert_batches(stream: DataFrame, path: str, keys: list[str], checkpoint: str, partition_by: list[str] | None = None) -> StreamingQuery:
+    """Update-mode results folded into a versioned table by key (partitioned by the first key by default): a batch rewrites the
+    partitions it touches, a batch that runs again changes nothing, and every version is whole."""
+    table = VersionedTable(stream.sparkSession, path, keys[:1] if partition_by is None else partition_by)
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
-        pointer = f"{path.rstrip('/')}/v{batch_id}"
-        if batch_id:
-            old = spark.read.parquet(f"{path.rstrip('/')}/v{batch_id - 1}")
-            rows = upsert(old, rows, keys, [c for c in rows.columns if c not in keys])
-        rows.write.mode("overwrite").parquet(pointer)
+        table.upsert(materialize(rows), keys, [c for c in rows.columns if c not in keys], "batches", batch_id)
 
     return stream.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import uuid
 import zlib
 
@@ -65,6 +66,31 @@ def test_texts_of_licences_are_told_apart():
         assert [(text[a:z], n) for a, z, n, d in s.scan(text) if d == 1.0][:1] == [(text[22 : 22 + len(said)].strip(" ()."), name)] or s.scan(text)[0][2] == name
 
 
+def test_repetitive_texts_take_little_time():
+    """300 KB of one phrase, of one whole licence, of licences in turn and of copies with edits of their own."""
+    s, rng = licences.Scanner(licences.TEMPLATES), random.Random(6)
+    said = licences.TEMPLATES["mit/text"]
+    edited = []
+    for _ in range(300):
+        ws = said.split()
+        for _ in range(4):
+            ws[rng.randrange(len(ws))] = f"z{rng.random()}"
+        edited += ws
+    longest = licences.TEMPLATES["gpl-3.0/text"]
+    for text, n in (("without warranty of any kind " * 10_000, 0), ((said + " ") * 300, 300), ((longest + " ") * 9, 9), (" ".join(edited), None)):
+        began = time.process_time()
+        found = s.scan(text)
+        assert time.process_time() - began < 10 and (len(found) == n or n is None and len(found) > 200)
+
+
+def test_long_licences_are_found_whole():
+    s = licences.Scanner(licences.TEMPLATES)
+    for name in ("gpl-3.0/text", "mpl-2.0/text", "apache-2.0/text"):
+        text = f"Before it. {licences.TEMPLATES[name]} After it."
+        (a, z, found, d), = [p for p in s.scan(text) if p[1] - p[0] > len(licences.TEMPLATES[name]) * 0.9]
+        assert found == name and d == 1.0 and licences.words_of(text[a:z]) == licences.words_of(licences.TEMPLATES[name])
+
+
 def test_notices_that_stand_close_together():
     s = licences.Scanner(licences.TEMPLATES)
     for name in ("mit/notice", "gpl-3.0/notice", "cc-by-nc-sa-4.0/notice", "mit/text"):

@@ -7,9 +7,10 @@ template's bigrams are cut into runs where more than 2(1-t)/t * b words lie betw
 a gap. In a run every occurrence starts a passage, whose end is the occurrence within the size bounds that gives the highest
 coefficient, then the longest passage. Of all passages the one with the highest coefficient is taken (then the longer, then the
 template's name, then the first), and those that it overlaps end earlier or go, so that notices that stand close together
-are found one by one.
+are found one by one. Starts wait under an upper bound and are looked at only while they lie outside what is taken, so a text
+that repeats a licence or a phrase over and over costs about as much as one of its length that doesn't.
 
-The templates are a parameter, small and sent to every task. ``TEMPLATES`` has the texts of short public licences, and
+The templates are a parameter, small and sent to every task. ``TEMPLATES`` has the texts of public licences (long ones as files), and
 notices, headers and openings of these and of longer ones. Names are licence/part.
 
 Nulls and odd input: null and empty texts have no passage; one-word texts have no bigram; repeated rows each get a row; an
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 import bisect
 import heapq
-import itertools
 import re
 from collections.abc import Iterator
 
@@ -64,27 +64,37 @@ class Scanner:
         own = bigrams(words)
         return 2 * len(own & self.sets[k]) / (len(own) + len(self.sets[k]))
 
-    def _ending(self, pairs: list[int], at: list[int], i: int, k: int, limit: int) -> tuple[float, int] | None:
-        """The best Dice of a passage from occurrence ``at[i]`` and its end, ``limit`` at most; None below the threshold."""
+    def _ending(self, before: np.ndarray, own: np.ndarray, at: np.ndarray, s: int, k: int, limit: int) -> tuple[float, int] | None:
+        """The best Dice of a passage from place ``s`` and its end, ``limit`` at most; None below the threshold. ``at`` has the
+        places of the template's bigrams, which ``own`` marks.
+
+        A bigram is new to the passage where it last stood before ``s``; Dice changes at such places alone. They are looked
+        for until the passage is too large for the threshold, or for the best so far with all that is missing.
+        """
         size, most = self.sizes[k], self.sizes[k] * (2 - self.t) / self.t + 1e-9
-        seen: set[int] = set()
-        hits, p, best, end = 0, at[i], self.t, None
-        for last in itertools.islice(at, i, None):
-            if last + 2 > limit:
+        z, width, new = s, 64 + 2 * int(most), np.zeros(0, np.int64)
+        while True:
+            far = min(s + width, limit - 1)
+            new = np.concatenate((new, z + np.flatnonzero(before[z:far] < s)))
+            z, width = far, 4 * width
+            mine = np.flatnonzero(own[new[: int(most)]])
+            hits = np.arange(1, len(mine) + 1)
+            d = 2 * hits / (mine + 1 + size)
+            best = d.max(initial=0)
+            if z == limit - 1 or len(new) > most or 2 * size < best * (len(new) + 2 * size - len(mine)):
                 break
-            while p < last:  # between occurrences nothing is the template's
-                seen.add(pairs[p])
-                p += 1
-            hits += pairs[p] not in seen
-            seen.add(pairs[p])
-            p += 1
-            # no end further on does better once the passage is too large for the threshold or the best
-            if len(seen) > most or 2 * size < best * (len(seen) + size):
+        if best < self.t:
+            return None
+        last = int(mine[np.flatnonzero(d == best)[-1]])
+        # equal Dice up to the next new place: the longest passage
+        end = int(new[last + 1]) if last + 1 < len(new) else z
+        while last + 1 == len(new) and end < limit - 1:
+            more = np.flatnonzero(before[end : end + width] < s)
+            end = min(end + (int(more[0]) if len(more) else width), limit - 1)
+            if len(more):
                 break
-            d = 2 * hits / (len(seen) + size)
-            if d >= best:
-                best, end = d, last + 2
-        return (best, end) if end else None
+            width *= 4
+        return float(best), int(at[np.searchsorted(at, end) - 1]) + 2
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, float]]:
         """(start, end, template, Dice) of the passages found, in order."""
@@ -97,37 +107,50 @@ class Scanner:
         where = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         hit = self.codes[where] == codes
         both, where = both[hit], where[hit]
-        has = self.has[where]
-        near = np.flatnonzero(has.sum(axis=0) >= self.least)
+        near = np.flatnonzero(self.has[np.unique(where)].sum(axis=0) >= self.least)
         if not len(near):
             return []
         ids: dict[str, int] = {}
-        numbers = [ids.setdefault(w, len(ids)) for w in words]
-        pairs = [a * len(ids) + b for a, b in zip(numbers, numbers[1:])]
-        found: list[tuple[float, int, str, int, int, int, list[int], int]] = []
-
-        def put(at: list[int], i: int, k: int, limit: int) -> None:
-            if r := self._ending(pairs, at, i, k, limit):
-                heapq.heappush(found, (-r[0], at[i] - r[1], self.names[k], at[i], r[1], k, at, i))
-
-        for k in near.tolist():
-            at = both[has[:, k]]
+        numbers = np.array([ids.setdefault(w, len(ids)) for w in words])
+        pairs = numbers[:-1] * len(ids) + numbers[1:]
+        order = np.argsort(pairs, kind="stable")
+        before = np.full(len(pairs), -1)  # where a place's bigram stood last
+        same = pairs[order[1:]] == pairs[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        has = {k: self.has[where, k] for k in near.tolist()}
+        own = {k: np.zeros(len(pairs), bool) for k in has}
+        # places wait under a bound of their Dice, by the template's bigrams that are left in their run, and are looked at only
+        # when nothing better is left; those that a taken passage covers by then never are
+        waiting: list[tuple[float, int, str, int, int, int]] = []
+        places = {}
+        for k, mine in has.items():
+            at = places[k] = both[mine]
+            own[k][at] = True
+            other = np.where(own[k], len(pairs), np.arange(len(pairs)))
+            other = np.minimum.accumulate(other[::-1])[::-1]  # the next bigram that is not the template's
             for run in np.split(at, np.flatnonzero(np.diff(at) > self.gap[k]) + 1):
                 if len(run) >= self.least[k]:
-                    places = run.tolist()
-                    for i in range(len(places)):
-                        put(places, i, k, len(words))
+                    last = np.ones(len(run), bool)
+                    by = np.argsort(pairs[run], kind="stable")
+                    last[by[:-1]] = pairs[run][by[1:]] != pairs[run][by[:-1]]
+                    left = np.cumsum(last[::-1])[::-1]
+                    some = left >= self.least[k]
+                    run, left = run[some], left[some]
+                    alone = np.minimum(other[run] - run, left)  # without any other bigram, or with one at least
+                    bound = np.maximum(2 * alone / (alone + self.sizes[k]), 2 * left / (left + 1 + self.sizes[k]))
+                    waiting += [(-b, -(1 << 60), self.names[k], p, -1, k) for p, b in zip(run.tolist(), bound.tolist())]
+        heapq.heapify(waiting)
         taken: list[tuple[int, int, str, float]] = []
-        while found:
-            d, _, name, a, z, k, at, i = heapq.heappop(found)
+        while waiting:
+            d, _, name, a, z, k = heapq.heappop(waiting)
             n_before = bisect.bisect_right(taken, a, key=lambda x: x[0])
-            limit = taken[n_before][0] if n_before < len(taken) else len(words)
             if n_before and taken[n_before - 1][1] > a:
                 continue
-            if z > limit:
-                put(at, i, k, limit)
-            else:
+            limit = taken[n_before][0] if n_before < len(taken) else len(words)
+            if 0 <= z <= limit:
                 taken.insert(n_before, (a, z, name, -d))
+            elif limit - a > 1 and (r := self._ending(before, own[k], places[k], a, k, limit)):
+                heapq.heappush(waiting, (-r[0], a - r[1], name, a, r[1], k))
         if taken:
             spans = [m.span() for m in _WORDS.finditer(text)]
             taken = [(spans[a][0], spans[z - 1][1], name, d) for a, z, name, d in taken]

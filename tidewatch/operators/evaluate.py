@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import level_bin, n_if, r6, risk_tier, share
-
+from tidewatch.operators.order_stats import at_ranks, running
+from tidewatch.sources.scratch import materialize
 
 
 def actuals_at_horizon(predictions: DataFrame, risk: DataFrame, how: str = "left") -> DataFrame:
@@ -53,17 +54,13 @@ def fold_log(scored: DataFrame) -> DataFrame:
 
 def conformal_quantiles(scored: DataFrame, alpha: float = 0.2, min_tier: int = 30) -> DataFrame:
     """level, horizon_days, tier, n, q: order statistic min(ceil((n+1)(1-alpha)), n) of the residuals, overall, per horizon
-    and per (horizon, tier). Residuals are counted by value first; ranks are sums of counts over distinct values.
+    and per (horizon, tier). Ranks come from ranges of residuals, so that the global level needs no single ordered task.
     """
     r = scored.filter("actual is not null").select("horizon_days", risk_tier(F.col("origin_risk")).alias("tier"), r6(F.abs(F.col("actual") - F.col("predicted"))).alias("residual"))
-    c = r.groupBy("horizon_days", "tier", "residual").agg(F.count("*").alias("c"))
+    r = materialize(r)
     out = None
     for level, keys in (("global", []), ("horizon", ["horizon_days"]), ("tier", ["horizon_days", "tier"])):
-        g = c.groupBy(*keys, "residual").agg(F.sum("c").alias("c"))
-        w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-        g = g.withColumn("n", F.sum("c").over(w)).withColumn("upto", F.sum("c").over(w.orderBy("residual")))
-        k = F.least(F.ceil((F.col("n") + 1) * (1 - alpha) - 1e-9), F.col("n"))
-        q = g.filter(F.col("upto") >= k).groupBy(*keys).agg(F.max("n").alias("n"), F.min("residual").alias("q"))
+        q = at_ranks(r, keys, "residual", {"q": F.least(F.ceil((F.col("n") + 1) * (1 - alpha) - 1e-9), F.col("n"))})
         q = q.filter(F.col("n") >= min_tier) if level == "tier" else q
         q = q.select(F.lit(level).alias("level"), (F.col("horizon_days") if "horizon_days" in keys else F.lit(None).cast("int")).alias("horizon_days"), (F.col("tier") if "tier" in keys else F.lit(None).cast("string")).alias("tier"), "n", "q")
         out = q if out is None else out.unionByName(q)
@@ -111,12 +108,11 @@ def regression_metrics(rows: DataFrame) -> DataFrame:
 def ranked_metrics(rows: DataFrame) -> DataFrame:
     """auc_roc (ties averaged), auc_pr and f1 at 0.5 per task; labels count as positive from 0.5; one class gives null AUCs.
 
-    Rows are counted per distinct score before anything is ordered, so the windows see distinct scores only.
+    Rows are counted per distinct score, and the running counts come from ranges of scores.
     """
     y = F.col("label") >= 0.5
     c = rows.groupBy("task", "score").agg(n_if(y).alias("pos"), n_if(~y).alias("neg"))
-    down = Window.partitionBy("task").orderBy(F.desc("score"))
-    c = c.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
+    c = running(c, ["task"], "score", ["pos", "neg"], descending=True).withColumnsRenamed({"pos_upto": "tp", "neg_upto": "fp"})
     p, n, tp, fp = F.sum("pos"), F.sum("neg"), F.col("tp"), F.col("fp")
     roc = F.sum(F.col("neg") * (tp - F.col("pos") / 2.0)) / (p * n)
     pr = F.sum(F.col("pos") * tp / (tp + fp)) / p
@@ -158,11 +154,6 @@ def ab_compare(rows: DataFrame) -> DataFrame:
         r6(F.corr("base", "actual"), 4).alias("r_base"), r6(F.corr("adjusted", "actual"), 4).alias("r_adjusted"))
 
 
-def distribution_stats(rows: DataFrame, column: str) -> DataFrame:
-    p = lambda q: r6(F.percentile(column, q))
-    return rows.agg(r6(F.avg(column)).alias("mean"), r6(F.stddev_pop(column)).alias("std"), F.min(column).alias("min"), p(0.25).alias("p25"), p(0.5).alias("p50"), p(0.75).alias("p75"), F.max(column).alias("max"))
-
-
 def extremes(rows: DataFrame, key: str, column: str, n: int = 5) -> DataFrame:
     """The ``n`` largest and the ``n`` smallest, by two bounded sorts."""
     top = rows.orderBy(F.desc(column), key).limit(n).select(key, column, F.lit("top").alias("end"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import n_if, r6, share
+from tidewatch.operators.order_stats import percentiles
 from tidewatch.operators.clean import classified
 
 SCORES = ("protest_score", "violence_score", "diplomatic_stress", "economic_stress", "terrorism_score", "avg_sentiment", "avg_goldstein")
@@ -136,9 +137,9 @@ def weekly_features(features: DataFrame) -> DataFrame:
 
 
 def global_risk_summary(risk: DataFrame) -> DataFrame:
-    return risk.groupBy("feature_date").agg(
-        F.count("*").alias("countries"), r6(F.avg("risk_score")).alias("avg_risk"), F.max("risk_score").alias("max_risk"),
-        r6(F.percentile("risk_score", 0.9)).alias("p90_risk"))
+    g = risk.groupBy("feature_date").agg(F.count("*").alias("countries"), r6(F.avg("risk_score")).alias("avg_risk"), F.max("risk_score").alias("max_risk"))
+    p = percentiles(risk, ["feature_date"], "risk_score", {"p90": 0.9}).select("feature_date", r6(F.col("p90")).alias("p90_risk"))
+    return g.join(p, "feature_date", "left")
 
 
 def labeled_countries(labels: DataFrame, min_days: int = 30) -> DataFrame:

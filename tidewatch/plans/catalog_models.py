@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import api
 
-from tidewatch.operators import backtest, evaluate, features, labels, network, retrieval, scoring, text, timeseries
+from tidewatch.operators import backtest, evaluate, features, labels, network, order_stats, retrieval, scoring, text, timeseries
 from tidewatch.plans.catalog import COOC, KIND, LABELS, LSTAT, ORACLE_SQL, QUAD, QUERIES, TIER, WEIGHTED, _weighted, daily, query, risk
 from tidewatch.plans.fixtures import AS_OF, facts, table, with_sql
 from tidewatch.sources import readers, sinks
@@ -508,7 +508,7 @@ def ab_compare(spark, d):
 
 @query("g36_distribution_stats", with_sql("select round(avg(risk_score) + 1e-9, 6) as mean, round(stddev_pop(risk_score) + 1e-9, 6) as std, min(risk_score) as min, round(quantile_cont(risk_score, 0.25) + 1e-9, 6) as p25, round(quantile_cont(risk_score, 0.5) + 1e-9, 6) as p50, round(quantile_cont(risk_score, 0.75) + 1e-9, 6) as p75, max(risk_score) as max from risk"))
 def distribution_stats(spark, d):
-    return evaluate.distribution_stats(risk(spark, d), "risk_score")
+    return order_stats.distribution_stats(risk(spark, d), "risk_score")
 
 
 @query("g36_extremes", with_sql("select country, risk_score, 'top' as \"end\" from (select * from latest order by risk_score desc, country limit 5) union all select country, risk_score, 'bottom' from (select * from latest order by risk_score, country limit 5)", LATEST))

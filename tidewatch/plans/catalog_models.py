@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import api
 
-from tidewatch.operators import backtest, evaluate, features, labels, network, order_stats, retrieval, scoring, text, timeseries
+from tidewatch.operators import attribution, backtest, evaluate, features, labels, network, order_stats, retrieval, scoring, text, timeseries
 from tidewatch.plans.catalog import COOC, KIND, LABELS, LSTAT, ORACLE_SQL, QUAD, QUERIES, TIER, WEIGHTED, _weighted, daily, query, risk
 from tidewatch.plans.fixtures import AS_OF, facts, table, with_sql
 from tidewatch.sources import readers, sinks
@@ -526,6 +526,30 @@ def attributions(spark, d):
     return scoring.attribute_features(daily(spark, d), WEIGHTS, dict.fromkeys(WEIGHTS, 0.1))
 
 
+#: A tree over two scores: its leaves, and the same as SQL.
+TREE = [
+    attribution.Leaf(0.10, {"violence_score": (-math.inf, 0.3), "protest_score": (-math.inf, 0.05)}), attribution.Leaf(0.25, {"violence_score": (-math.inf, 0.3), "protest_score": (0.05, math.inf)}),
+    attribution.Leaf(0.40, {"violence_score": (0.3, math.inf), "protest_score": (-math.inf, 0.1)}), attribution.Leaf(0.80, {"violence_score": (0.3, math.inf), "protest_score": (0.1, math.inf)}),
+]
+TREE_SQL = lambda v, p: f"case when {v} <= 0.3 then case when {p} <= 0.05 then 0.1 else 0.25 end else case when {p} <= 0.1 then 0.4 else 0.8 end end::double"
+SHAP = f"""shap as (select country, 'violence_score' as feature, 0.5 * (({TREE_SQL('violence_score', 0)} - {TREE_SQL(0, 0)}) + ({TREE_SQL('violence_score', 'protest_score')} - {TREE_SQL(0, 'protest_score')})) as c from features
+  union all select country, 'protest_score', 0.5 * (({TREE_SQL(0, 'protest_score')} - {TREE_SQL(0, 0)}) + ({TREE_SQL('violence_score', 'protest_score')} - {TREE_SQL('violence_score', 0)})) from features)"""
+
+
+@query("f10_tree_attributions", with_sql("select *, row_number() over (partition by country order by magnitude desc, feature) as rank from (select country, feature, round(sum(c) + 1e-9, 6) as contribution, round(sum(abs(c)) + 1e-9, 6) as magnitude from shap group by 1, 2)", SHAP))
+def tree_attributions(spark, d):
+    return attribution.attribute_trees(daily(spark, d), TREE, ["violence_score", "protest_score"])
+
+
+@query("f10_fitted_tree_attributions")
+def fitted_tree_attributions(spark, d):
+    """Of a boosted-tree scorer fitted on the days before the cut; against all subsets in the tests."""
+    rows = labels.multitask_labels(facts(spark, d)).withColumnRenamed("label_date", "feature_date").join(daily(spark, d), ["country", "feature_date"])
+    split = _kept(timeseries.split_by_dates(rows, "feature_date", "2024-01-18", "2024-01-24"))
+    model = scoring.fit_multitask_scorer(split.filter("split = 'train'"), COLS, ["war_label"])["war_label"].stages[-1]
+    return attribution.attribute_trees(split.filter("split <> 'train'"), attribution.leaves(model, COLS), COLS)
+
+
 WALK = """steps_ as (select country, feature_date, risk_score, dense_rank() over (order by feature_date) as step from risk),
 pairs_ as (select s.country, s.step, s.feature_date, s.risk_score as x, h.h, t.risk_score as y from steps_ s cross join (values (1), (3), (7)) h(h) left join steps_ t on t.country = s.country and t.step = s.step + h.h),
 dates_ as (select distinct step, feature_date from steps_),"""

@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import r6, risk_tier
+from tidewatch.operators.clean import anchored_range
+from tidewatch.operators.features import list_countries
+from tidewatch.operators.network import top_influencers
+from tidewatch.operators.text import corpus_stats
+from tidewatch.sources.readers import country_names
+from tidewatch.sources.sinks import ledger_status
 
 
 def latest(rows: DataFrame, key: str, by: str) -> DataFrame:
@@ -92,3 +98,86 @@ def top_rows(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
 def advisory_comparison(rules: DataFrame, augmented: DataFrame) -> DataFrame:
     """The rule text beside the augmented one."""
     return rules.select("country", F.col("advisory_text").alias("rule_text")).join(augmented.select("country", F.col("advisory_text").alias("augmented_text")), "country")
+
+
+def _one(rows: DataFrame, country: str) -> DataFrame:
+    return rows.filter(F.col("country") == country)
+
+
+def countries(features: DataFrame, names: DataFrame) -> DataFrame:
+    """Every country with its newest day, its number of days and its name (the code itself where there is none)."""
+    return country_names(list_countries(features).withColumnRenamed("country", "code"), names).withColumnRenamed("code", "country").select("country", "name", "last_date", "days")
+
+
+def timeline(risk: DataFrame, country: str, days: int = 90) -> DataFrame:
+    """A country's daily scores over the ``days`` before its newest day."""
+    return anchored_range(_one(risk, country), "country", "feature_date", days)
+
+
+def country_events(clusters: DataFrame, country: str, days: int = 30) -> DataFrame:
+    """A country's event clusters over the ``days`` before its newest one."""
+    return anchored_range(_one(clusters, country), "country", "cluster_date", days)
+
+
+def country_labels(labels: DataFrame, country: str, days: int = 90) -> DataFrame:
+    """A country's labels over the ``days`` before its newest one."""
+    return anchored_range(_one(labels, country), "country", "label_date", days)
+
+
+def browse_clusters(clusters: DataFrame, categories: list[str] | None = None, min_mentions: int = 0, country: str | None = None, days: int | None = None) -> DataFrame:
+    """Clusters of some categories with at least so many mentions; of one country and its last ``days``, where given."""
+    found = clusters if country is None else _one(clusters, country)
+    found = anchored_range(found, "country", "cluster_date", days) if days is not None else found
+    found = found.filter(F.col("category").isin(*categories)) if categories else found
+    return found.filter(F.col("total_mentions") >= min_mentions)
+
+
+def features_with_labels(features: DataFrame, labels: DataFrame, columns: list[str], tasks: list[str]) -> DataFrame:
+    """Feature rows with the labels of their country and day, 0 where there is none."""
+    l = labels.select("country", F.col("label_date").alias("feature_date"), *tasks)
+    return features.select("country", "feature_date", *columns).join(l, ["country", "feature_date"], "left").fillna(0.0, tasks)
+
+
+def country_spillover(edges: DataFrame, country: str, n: int = 5) -> DataFrame:
+    """The heaviest edges of a country, with the neighbour at the other end."""
+    own = edges.filter((F.col("country_a") == country) | (F.col("country_b") == country))
+    other = F.when(F.col("country_a") == country, F.col("country_b")).otherwise(F.col("country_a"))
+    return own.select(other.alias("neighbor"), "correlation", "cooccurrence", "is_adjacent", "weight").orderBy(F.desc("weight"), "neighbor").limit(n)
+
+
+def country_influence(adjusted: DataFrame, edges: DataFrame, country: str, n: int = 5) -> DataFrame:
+    """A country's imported risk, amplification and adjusted risk, with its ``n`` strongest neighbours, comma-joined."""
+    top = top_influencers(edges, country, n).agg(F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("w"), "neighbor"))).alias("t"))
+    names = F.array_join(F.transform("t", lambda x: x["neighbor"]), ",")
+    return _one(adjusted, country).select("country", "imported_risk", "amplification", "adjusted_risk", top.select(names).scalar().alias("influencers"))
+
+
+def country_forecast(forecasts: DataFrame, country: str) -> DataFrame:
+    """A country's forecast by step."""
+    return _one(forecasts, country).orderBy("horizon_step")
+
+
+def country_advisory(augmented: DataFrame, scores: DataFrame, names: DataFrame, country: str) -> DataFrame:
+    """A country's name, level, confidence and advisory text with analogues."""
+    a = _one(augmented, country).join(_one(scores, country).select("country", "confidence"), "country").withColumnRenamed("country", "code")
+    return country_names(a, names).select(F.col("code").alias("country"), "name", "level", "confidence", "advisory_text")
+
+
+def corpus_entries(corpus: DataFrame, level: str | None = None, limit: int = 20) -> DataFrame:
+    """Entries of a level (of all, if none is given), by text."""
+    found = corpus if level is None else corpus.filter(F.col("risk_level") == level.upper())
+    return found.orderBy("text").limit(limit)
+
+
+def corpus_levels(corpus: DataFrame) -> DataFrame:
+    return corpus_stats(corpus)
+
+
+def ingestion_runs(audit: DataFrame, limit: int = 20) -> DataFrame:
+    """The newest runs of the audit log."""
+    return audit.orderBy(F.desc("run_date"), "run_id").limit(limit)
+
+
+def ledger_summary(ledger: DataFrame, events: DataFrame) -> DataFrame:
+    """Files and events by status, with the number of all events beside them."""
+    return ledger_status(ledger).withColumn("events_total", events.agg(F.count("*")).scalar())

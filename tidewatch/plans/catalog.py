@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch import api
 from tidewatch.functions.scalar import level_bin, r6, risk_tier, sigmoid
 from tidewatch.operators import clean, features, labels, network, scoring, timeseries
 from tidewatch.plans.fixtures import AS_OF, facts, raw_events, table, with_sql
@@ -119,7 +120,7 @@ def levels(spark, d):
 
 @query("p12_cluster_browse", with_sql("select country, cluster_date, category, total_mentions from clusters where category in ('military', 'terrorism') and total_mentions >= 50"))
 def cluster_browse(spark, d):
-    return features.event_clusters(facts(spark, d)).filter(F.col("category").isin("military", "terrorism") & (F.col("total_mentions") >= 50)).select("country", "cluster_date", "category", "total_mentions")
+    return api.browse_clusters(features.event_clusters(facts(spark, d)), ["military", "terrorism"], 50).select("country", "cluster_date", "category", "total_mentions")
 
 
 @query("p13_timeline", with_sql("select country, feature_date, risk_score from (select *, max(feature_date) over (partition by country) as newest from risk) where feature_date >= newest - 7"))

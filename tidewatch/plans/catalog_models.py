@@ -666,10 +666,11 @@ def alerts(spark, d):
     return api.alerts(f, risk(spark, d), 0.1, -0.2)
 
 
-@query("j9_features_with_labels", with_sql("select country, feature_date, violence_score, coalesce(war_label, 0) as war_label, coalesce(terrorism_label, 0) as terrorism_label from features left join (select * from labels_ where day(label_date) % 3 <> 0) l using (country) where l.label_date = feature_date union all select country, feature_date, violence_score, 0, 0 from features where day(feature_date) % 3 = 0", LSTAT, LABELS))
+@query("j9_features_with_labels", with_sql("select f.country, feature_date, violence_score, coalesce(war_label, 0) as war_label, coalesce(terrorism_label, 0) as terrorism_label from features f left join labels_ l on l.country = f.country and l.label_date = f.feature_date - 3", LSTAT, LABELS))
 def features_with_labels(spark, d):
-    lab = labels.multitask_labels(facts(spark, d)).filter("day(label_date) % 3 <> 0").select("country", F.col("label_date").alias("feature_date"), "war_label", "terrorism_label")
-    return daily(spark, d).join(lab, ["country", "feature_date"], "left").fillna(0.0, ["war_label", "terrorism_label"]).select("country", "feature_date", "violence_score", "war_label", "terrorism_label")
+    """Labels three days later beside each feature row; the first days have none."""
+    later = labels.multitask_labels(facts(spark, d)).withColumn("label_date", F.date_add("label_date", 3))
+    return api.features_with_labels(daily(spark, d), later, ["violence_score"], ["war_label", "terrorism_label"])
 
 
 @query("j11_s8_translation", with_sql("select 'N' || n_nationkey as country, count(*) as n from facts join nation on n_name = action_geo_country where n_nationkey % 4 <> 0 group by 1"))
@@ -836,6 +837,70 @@ def vector_topk(spark, d):
     return text.vector_topk(v, v.filter("vec_id % 50 = 0"))
 
 
+# --- read endpoints
+
+@query("api_countries", with_sql("select country, coalesce(upper(name), country) as name, max(feature_date) as last_date, count(*) as days from features left join names on code = country group by country, name", NAMES))
+def api_countries(spark, d):
+    return api.countries(daily(spark, d), _names(spark, d))
+
+
+@query("api_timeline", with_sql("select country, feature_date, risk_score, protest_score from risk where country = 'NATION_7' and feature_date >= (select max(feature_date) - 10 from risk where country = 'NATION_7')"))
+def api_timeline(spark, d):
+    return api.timeline(risk(spark, d), "NATION_7", 10).select("country", "feature_date", "risk_score", "protest_score")
+
+
+@query("api_events", with_sql("select country, cluster_date, category, event_count, total_mentions from clusters where country = 'NATION_7' and cluster_date >= (select max(cluster_date) - 12 from clusters where country = 'NATION_7')"))
+def api_events(spark, d):
+    return api.country_events(features.event_clusters(facts(spark, d)), "NATION_7", 12).select("country", "cluster_date", "category", "event_count", "total_mentions")
+
+
+@query("api_labels", with_sql("select country, label_date, instability_label, war_label from labels_ where country = 'NATION_7' and label_date >= (select max(label_date) - 12 from labels_ where country = 'NATION_7')", LSTAT, LABELS))
+def api_labels(spark, d):
+    return api.country_labels(labels.multitask_labels(facts(spark, d)), "NATION_7", 12).select("country", "label_date", "instability_label", "war_label")
+
+
+@query("api_cluster_browse", with_sql("select country, cluster_date, category, total_mentions from clusters where country = 'NATION_7' and category in ('military', 'protest') and total_mentions >= 20 and cluster_date >= (select max(cluster_date) - 12 from clusters where country = 'NATION_7')"))
+def api_cluster_browse(spark, d):
+    return api.browse_clusters(features.event_clusters(facts(spark, d)), ["military", "protest"], 20, "NATION_7", 12).select("country", "cluster_date", "category", "total_mentions")
+
+
+@query("api_spillover", with_sql("select * from (select case when country_a = 'NATION_7' then country_b else country_a end as neighbor, correlation, cooccurrence, is_adjacent, weight from top_edges where 'NATION_7' in (country_a, country_b)) order by weight desc, neighbor limit 5", *NET))
+def api_spillover(spark, d):
+    return api.country_spillover(_edges(spark, d), "NATION_7")
+
+
+@query("api_influence", with_sql("select country, imported_risk, amplification, adjusted_risk, (select string_agg(neighbor, ',' order by weight desc, neighbor) from (select * from inf order by weight desc, neighbor limit 5)) as influencers from adjusted where country = 'NATION_3'", *NETWORK, INF))
+def api_influence(spark, d):
+    return api.country_influence(_adjusted(spark, d), _edges(spark, d), "NATION_3")
+
+
+@query("api_forecast", with_sql("select * from forecasts where country = 'NATION_7'", *FC))
+def api_forecast(spark, d):
+    return api.country_forecast(_forecasts(spark, d), "NATION_7")
+
+
+@query("api_corpus", with_sql("select risk_level, situation_type, category from (select * from corpus where risk_level = 'MODERATE' order by text, country, cluster_date limit 1000000)", CORPUS))
+def api_corpus(spark, d):
+    return api.corpus_entries(_corpus(spark, d), "moderate", 1_000_000).select("risk_level", "situation_type", "category")
+
+
+@query("api_ledger", with_sql("select status, count(*) as files, sum(ev)::bigint as events, (select count(*) from facts) as events_total from (select case when n > 10 then 'pending' when events % 5 = 0 then 'error' else 'done' end as status, case when n > 10 then 0 else events end as ev from (select *, row_number() over (order by file_ts) as n from man)) group by 1", "man as (select event_date::timestamp as file_ts, count(*) as events from facts group by 1)"))
+def api_ledger(spark, d):
+    return api.ledger_summary(_ledger(spark, d), facts(spark, d)).drop("latest")
+
+
+@query("api_runs", with_sql("select event_date::varchar as run_id, event_date::varchar as run_date, count(*) as inserted from facts group by 1, 2 order by 2 desc, 1 limit 20"))
+def api_runs(spark, d):
+    n = sinks.count_per_date(facts(spark, d))
+    return api.ingestion_runs(n.select(F.col("event_date").cast("string").alias("run_id"), F.col("event_date").cast("string").alias("run_date"), F.col("n").alias("inserted")))
+
+
+@query("api_advisory")
+def api_advisory(spark, d):
+    """Its parts (scores, rules, retrieval, wording) have SQL of their own."""
+    return api.country_advisory(_augmented(spark, d), _state(spark, d), _names(spark, d), "NATION_7")
+
+
 # --- files
 
 @query("s1_s6_read_events", with_sql("select global_event_id, event_date, quad_class from parsed"))

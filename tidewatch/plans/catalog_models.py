@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import api
 
-from tidewatch.operators import attribution, backtest, evaluate, features, labels, network, order_stats, retrieval, scoring, text, timeseries
+from tidewatch.operators import attribution, backtest, evaluate, features, labels, network, order_stats, retrieval, scoring, text, timeseries, vector_index
 from tidewatch.plans.catalog import COOC, KIND, LABELS, LSTAT, ORACLE_SQL, QUAD, QUERIES, TIER, WEIGHTED, _weighted, daily, query, risk
 from tidewatch.plans.fixtures import AS_OF, facts, table, with_sql
 from tidewatch.sources import readers, sinks
@@ -834,7 +834,7 @@ def advisory_comparison(spark, d):
   from embeddings q join embeddings v on q.vec_id % 50 = 0 and v.vec_id <> q.vec_id)) where rank <= 5"""))
 def vector_topk(spark, d):
     v = table(spark, d, "embeddings")
-    return text.vector_topk(v, v.filter("vec_id % 50 = 0"))
+    return vector_index.nearest(v, v.filter("vec_id % 50 = 0"))
 
 
 # --- read endpoints

@@ -92,12 +92,30 @@ def trend_slope(dense: DataFrame, column: str, last: int = 30) -> DataFrame:
     return top.groupBy("country").agg(r6(F.coalesce(F.regr_slope(F.col(column), F.col("pos").cast("double")), F.lit(0.0))).alias("slope"))
 
 
-def sliding_windows(dense: DataFrame, columns: list[str], seq_len: int, stride: int, min_nonzero: int) -> DataFrame:
-    """Windows of ``seq_len`` rows that end every ``stride`` rows, as arrays of structs, with enough non-zero days."""
-    w = Window.partitionBy("country").orderBy("pos").rowsBetween(-(seq_len - 1), 0)
-    total = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
-    ends = dense.withColumn("nonzero", F.sum(F.when(total > 0, 1).otherwise(0)).over(w)).withColumn("window", F.collect_list(F.struct("pos", "valid", *columns)).over(w))
-    return ends.filter((F.col("pos") >= seq_len) & ((F.col("pos") - seq_len) % stride == 0) & (F.col("nonzero") >= min_nonzero)).select("country", F.col("feature_date").alias("end_date"), "nonzero", "window")
+def chunked(dense: DataFrame, columns: list[str], overlap: int, size: int) -> DataFrame:
+    """country, chunk (from 0) and rows: each country's positions cut into arrays of ``size``, with the ``overlap`` rows before
+    them. A row is moved once, and twice if it lies in an overlap."""
+    own = F.floor((F.col("pos") - 1) / size).cast("int")
+    near = F.when(F.col("pos") > (own + 1) * size - overlap, F.array(own, own + 1)).otherwise(F.array(own))
+    each = dense.select("country", F.struct("pos", "feature_date", "valid", *columns).alias("r"), F.explode(near).alias("chunk"))
+    return each.groupBy("country", "chunk").agg(F.sort_array(F.collect_list("r")).alias("rows")).filter(F.element_at("rows", -1)["pos"] > F.col("chunk") * size)
+
+
+def sliding_windows(dense: DataFrame, columns: list[str], seq_len: int, stride: int, min_nonzero: int, chunk: int = 512) -> DataFrame:
+    """Windows of ``seq_len`` rows that end every ``stride`` rows, as arrays of structs, with enough non-zero days.
+
+    Windows are slices of chunks of the panel that overlap by a window, so what is shuffled is about the panel, also where
+    windows overlap almost wholly.
+    """
+    size = max(chunk, seq_len)
+    c = chunked(dense, columns, seq_len - 1, size)
+    ends = F.filter("rows", lambda r: (r["pos"] > F.col("chunk") * size) & (r["pos"] >= seq_len) & ((r["pos"] - seq_len) % stride == 0))
+    first = F.get("rows", F.lit(0))["pos"]
+    cut = F.transform(ends, lambda e: F.struct(e["feature_date"].alias("end_date"), F.slice("rows", e["pos"] - first - (seq_len - 2), F.lit(seq_len)).alias("w")))
+    w = c.select("country", F.explode(cut).alias("x")).select("country", "x.end_date", "x.w")
+    some = lambda r: sum((r[k] for k in columns[1:]), r[columns[0]]) > 0
+    w = w.withColumn("nonzero", F.size(F.filter("w", some)).cast("long")).filter(F.col("nonzero") >= min_nonzero)
+    return w.select("country", "end_date", "nonzero", F.transform("w", lambda r: F.struct(*[r[k].alias(k) for k in ("pos", "valid", *columns)])).alias("window"))
 
 
 def context_target_pairs(snapshots: DataFrame, value: str, context: int = 6, target: int = 4, min_context: int = 2, min_target: int = 1) -> DataFrame:

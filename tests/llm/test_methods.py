@@ -314,16 +314,42 @@ def test_small_shards_give_the_same(spark, documents):
 # 5
 
 
-def test_ngrams_of_pieces(monkeypatch):
-    def plain(t):
-        x = [0, 0, *[ord(c.lower()) if c.isalpha() else 0 for c in t], 0]
-        c = collections.Counter()
-        for a, m, z in zip(x, x[1:], x[2:]):
-            c.update([z] * (z > 0))
-            c.update([m << 21 | z | 1 << 63] * (m > 0 or z > 0))
-            c.update([a << 42 | m << 21 | z] * (m > 0 and (a > 0 or z > 0)))
-        return dict(c)
+def plain(t):
+    """Counts of n-gram codes, a character at a time."""
+    x = [0, 0, *[ord(c.lower()) if c.isalpha() else 0 for c in t], 0]
+    c = collections.Counter()
+    for a, m, z in zip(x, x[1:], x[2:]):
+        c.update([z] * (z > 0))
+        c.update([m << 21 | z | 1 << 63] * (m > 0 or z > 0))
+        c.update([a << 42 | m << 21 | z] * (m > 0 and (a > 0 or z > 0)))
+    return dict(c)
+
+
+def test_profiles_and_distances_against_plain_ones(documents):
+    """Learned ranks, out-of-place distances and scores, all in lists and dictionaries, on whole texts."""
+    size, rows = 300, documents.collect()
+    sums = {}
+    for r in rows:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            sums.setdefault(r.lang, collections.Counter()).update(plain(r.text))
+    signed = lambda c: c - (c >> 63 << 64)
+    profiles = {lang: sorted(c, key=lambda k: (-c[k], signed(k)))[:size] for lang, c in sums.items()}
+    learned = langid.learn(documents, size)
+    assert learned == profiles and len(profiles) > 2
+    model = langid.Profiles(learned)
+    for r in rows[:60]:
+        counts = plain(r.text or "")
+        if not any(c.isalpha() for c in r.text or ""):
+            assert model.predict(r.text) == ("und", 0.0)
+            continue
+        top = sorted(counts, key=lambda k: (-counts[k], k))[: langid.PROFILE]
+        far = {lang: sum(abs(p.index(c) - i) if c in p else langid.PROFILE for i, c in enumerate(top)) / (langid.PROFILE * len(top)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        lang, score = model.predict(r.text)
+        assert lang == best and score == pytest.approx((1 - far[best]) / sum(1 - d for d in far.values()))
 
+
+def test_ngrams_of_pieces(monkeypatch):
     for size in (3, 5, 200_000):
         monkeypatch.setattr(langid, "PIECE", size)
         for t in ("hello wörld é", "a", "x y", "abcdefg hijk, lmnop"):

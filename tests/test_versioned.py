@@ -1,8 +1,9 @@
 from datetime import date
+from types import SimpleNamespace
 
 import pytest
-from pyspark.sql import functions as F
 
+from tidewatch.sources import scratch
 from tidewatch.sources.history import History
 from tidewatch.sources.versioned import VersionedTable
 
@@ -99,3 +100,12 @@ def test_history_after_a_crash_between_sketch_and_facts(spark, tmp_path, monkeyp
             h.append(events(spark, 2, 3), "s", 1)
     assert h.append(events(spark, 2, 3), "s", 1) == 1 and h.append(events(spark, 2, 3), "s", 1) == 0
     assert sorted(r.global_event_id for r in h.read().collect()) == [1, 2, 3]
+
+
+def test_cluster_without_a_shared_folder_raises():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(SimpleNamespace(conf=Conf()))

@@ -819,12 +819,33 @@ def _augmented(spark, d):
     return text.augment_advisory(text.rule_advisory(state), analogues, traj)
 
 
-@query("t11_augment_advisory")
+#: A number with so many decimals as Java writes it: half away from zero, with the sign of what becomes zero.
+AS_TEXT = lambda x, n: f"(case when {x} < 0 and round({x}::decimal(18, 6), {n}) = 0 then '-' else '' end || round({x}::decimal(18, 6), {n})::decimal(18, {n})::varchar)"
+ENTRIES = f"""entry_ as (select c.country || '|' || c.cluster_date || '|' || c.category as entry, c.risk_level, c.situation_type, c.text || ' Average Goldstein scale: ' || {AS_TEXT('g', 1)} || '.' as text, c.tags
+  from corpus c join corpus_l l using (country, cluster_date, category)),
+edoc as (select entry, concat_ws(' ', text, list_aggregate(tags, 'string_agg', ' '), replace(situation_type, '_', ' '), risk_level) as indexed from entry_),
+eterm as (select entry, term, count(*) as n from (select entry, unnest({WORDS.format("indexed")}) as term from edoc) group by 1, 2),
+evocab as (select term from (select term, sum(n) as total from eterm group by 1 order by total desc, term limit 800)),
+ev as (select * from eterm where term in (select term from evocab)),
+eidf as (select term, ln((1 + (select count(*) from edoc)) / (1 + count(*))) + 1 as idf from ev group by 1),
+ew as (select entry, term, n / sum(n) over (partition by entry) * idf as w from ev join eidf using (term)),
+eweight as (select entry, term, w / (sqrt(sum(w * w) over (partition by entry)) + 1e-8) as weight from ew),
+qterm as (select country, term, n / (sqrt(sum(n * n) over (partition by country)) + 1e-8) as q from (select country, term, count(*) as n from (select country, unnest({WORDS.format("query")}) as term from qry) group by 1, 2) where term in (select term from eweight)),
+hit as (select * from (select *, row_number() over (partition by country order by similarity desc, entry) as rank from (select country, entry, round(sum(q * weight) + 1e-9, 4) as similarity from qterm join eweight using (term) group by 1, 2)) where rank <= 2 and similarity >= 0.05),
+analog as (select country, string_agg('[' || risk_level || '/' || replace(situation_type, '_', ' ') || '] ' || text, ' — ' order by rank) as said from hit join entry_ using (entry) group by 1),
+clause as (select country, case when trajectory[-1] > trajectory[1] + 0.08 then 'Model forecast projects risk escalating to ' || {AS_TEXT('trajectory[-1]', 2)} || ' within ' || 2 * len(trajectory) || ' weeks — heightened monitoring advised.'
+  when trajectory[-1] < trajectory[1] - 0.08 then 'Model forecast projects risk moderating to ' || {AS_TEXT('trajectory[-1]', 2)} || ' within ' || 2 * len(trajectory) || ' weeks — conditions may stabilise.'
+  else 'Model forecast is stable (' || {AS_TEXT('trajectory[-1]', 2)} || ') over the next ' || 2 * len(trajectory) || ' weeks.' end as ahead from traj),
+augmented as (select country, level, concat_ws(' ', advisory_text, 'Historical analogues of similar risk patterns: ' || said, ahead) as advisory_text from adv left join analog using (country) left join clause using (country))"""
+AUGMENTED = (*ST, ADV, DRV, SLOPE(10), FCAST, TRAJ, QRY, CORPUS, ENTRIES)
+
+
+@query("t11_augment_advisory", with_sql("select * from augmented", *AUGMENTED))
 def augment_advisory(spark, d):
     return _augmented(spark, d)
 
 
-@query("j15_advisory_comparison")
+@query("j15_advisory_comparison", with_sql("select country, adv.advisory_text as rule_text, augmented.advisory_text as augmented_text from adv join augmented using (country)", *AUGMENTED))
 def advisory_comparison(spark, d):
     return api.advisory_comparison(text.rule_advisory(_state(spark, d)), _augmented(spark, d))
 
@@ -895,9 +916,8 @@ def api_runs(spark, d):
     return api.ingestion_runs(n.select(F.col("event_date").cast("string").alias("run_id"), F.col("event_date").cast("string").alias("run_date"), F.col("n").alias("inserted")))
 
 
-@query("api_advisory")
+@query("api_advisory", with_sql("select country, coalesce(upper(name), country) as name, level, confidence, advisory_text from augmented join state using (country) left join names on code = country where country = 'NATION_7'", *AUGMENTED, NAMES))
 def api_advisory(spark, d):
-    """Its parts (scores, rules, retrieval, wording) have SQL of their own."""
     return api.country_advisory(_augmented(spark, d), _state(spark, d), _names(spark, d), "NATION_7")
 
 

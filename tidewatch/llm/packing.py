@@ -33,6 +33,8 @@ from tidewatch.llm.token_files import END_ID, encoder
 WINDOW = 1024
 #: Columns that a round of the solver adds at most, and rounds.
 ADDED, ROUNDS = 48, 120
+#: Documents that a task places at once.
+PLACED = 2_000
 #: Sequences of whole windows have numbers from here on.
 WHOLE = 1 << 40
 _SHIFT = 44
@@ -184,7 +186,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, window: int) ->
     enc, part, seen, whole = encoder(vocabulary), TaskContext.get().partitionId(), np.zeros(window, np.int64), 0
     end = np.array([END_ID], np.uint16)
     for batch in batches:
-        for b in blocks(batch, 4 * BLOCK_CHARS):
+        for b in blocks(batch, 2 * BLOCK_CHARS):
             rows = [np.concatenate((ids, end)) for ids in enc(b.column("text"))]
             n = np.array([len(r) for r in rows], np.int64)
             rest = n % window
@@ -203,7 +205,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, window: int) ->
 
 def _placed(batches: Iterator[pa.RecordBatch], plan: Plan, with_ids: bool) -> Iterator[pa.RecordBatch]:
     window = plan.window
-    for b in batches:
+    for b in (batch.slice(i, PLACED) for batch in batches for i in range(0, batch.num_rows, PLACED)):
         n, rest, part = (b.column(c).to_numpy() for c in ("n", "rest", "part"))
         ids = [np.frombuffer(x, "<u2").astype("<u4") for x in b.column("ids").to_pylist()]
         whole = n // window

@@ -53,7 +53,7 @@ def write_index(vectors: DataFrame, path: str, lists: int = LISTS, sample: int =
     if k < 2:
         placed, centres = rows.withColumn("list", F.lit(0)), [r.unit for r in rows.limit(k).select("unit").collect()]
     else:
-        model = KMeans(k=k, seed=seed, maxIter=10, distanceMeasure="cosine").fit(some)
+        model = KMeans(k=k, seed=seed, maxIter=5, initSteps=1, distanceMeasure="cosine").fit(some)
         placed = model.transform(rows.withColumn("features", array_to_vector("unit"))).select("vec_id", "unit", F.col("prediction").alias("list"))
         centres = [c.tolist() for c in model.clusterCenters()]
     long = lambda c: sum(x * x for x in c) ** 0.5

@@ -83,3 +83,23 @@ def test_rolling_spillover_sees_no_later_event(spark):
         assert {(x.country_a, x.country_b) for x in c.collect()} <= {("a", "b"), ("a", "c"), ("b", "c")}
         assert key(network.spillover_edges(c, o, adj).collect()) == key(tuple(x)[1:] for x in got if x.as_of == d)
     assert network.rolling_spillover(*both(e.limit(0), r.limit(0)), adj).collect() == []
+
+
+def test_cooccurrence_counts_all_days(spark):
+    events = [(date(2024, 1, d), "a", "b", 3) for d in (1, 2, 25)]
+    e = spark.createDataFrame(events, "event_date date, actor1_country string, actor2_country string, quad_class int")
+    assert [tuple(r) for r in network.cooccurrence(e, min_events=3).collect()] == [("a", "b", 3)]
+    assert network.cooccurrence(e, "2024-01-02", "2024-01-30", 3).collect() == []
+
+
+def test_network_queries_see_events_of_every_day(spark, tmp_path):
+    """Conflicts of the first days alone make edges."""
+    import shutil
+
+    from tidewatch.plans import catalog_models
+
+    sf = "/root/testdata/sf0.001"
+    shutil.copy(f"{sf}/nation.parquet", tmp_path)
+    spark.read.parquet(f"{sf}/events.parquet").filter("ts < '2024-01-06'").write.parquet(f"{tmp_path}/events.parquet")
+    run = lambda name: catalog_models.QUERIES[name](spark, str(tmp_path)).count()
+    assert run("g18_cooccurrence") > 0 and run("j6_spillover_edges") > 0

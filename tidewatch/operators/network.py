@@ -34,10 +34,13 @@ def _folded(directed: DataFrame, *keys: str) -> DataFrame:
     return directed.groupBy(*keys, F.least("actor1_country", "actor2_country").alias("country_a"), F.greatest("actor1_country", "actor2_country").alias("country_b")).agg(F.sum("n").alias("events"))
 
 
-def cooccurrence(events: DataFrame, start: str, end: str, min_events: int = 5) -> DataFrame:
-    """Conflict events of the days from ``start`` to ``end`` between two countries: directed counts of at least ``min_events``, then folded."""
-    near = _conflict_pairs(events.filter(F.col("event_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))))
-    return _folded(near.groupBy("actor1_country", "actor2_country").agg(F.count("*").alias("n")).filter(F.col("n") >= min_events))
+def cooccurrence(events: DataFrame, start: str | None = None, end: str | None = None, min_events: int = 5) -> DataFrame:
+    """Conflict events between two countries, of all days or of those from ``start`` to ``end``: directed counts of at least ``min_events``, then folded."""
+    if start:
+        events = events.filter(F.col("event_date") >= F.lit(start).cast("date"))
+    if end:
+        events = events.filter(F.col("event_date") <= F.lit(end).cast("date"))
+    return _folded(_conflict_pairs(events).groupBy("actor1_country", "actor2_country").agg(F.count("*").alias("n")).filter(F.col("n") >= min_events))
 
 
 def _rolled(daily: DataFrame, keys: list[str], date: str, start: str, end: str, days: int) -> DataFrame:

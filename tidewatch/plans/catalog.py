@@ -273,13 +273,13 @@ def list_countries(spark, d):
     return features.list_countries(daily(spark, d))
 
 
-COOC = f"""directed as (select actor1_country a, actor2_country b, count(*) n from facts where event_date between date '{AS_OF}' - 20 and date '{AS_OF}' and quad_class in (3, 4) and actor2_country is not null and actor1_country <> actor2_country group by 1, 2 having count(*) >= 2),
+COOC = """directed as (select actor1_country a, actor2_country b, count(*) n from facts where quad_class in (3, 4) and actor2_country is not null and actor1_country <> actor2_country group by 1, 2 having count(*) >= 2),
 cooc as (select least(a, b) as country_a, greatest(a, b) as country_b, sum(n)::bigint as events from directed group by 1, 2)"""
 
 
 @query("g18_cooccurrence", with_sql("select * from cooc", COOC))
 def cooccurrence(spark, d):
-    return network.cooccurrence(facts(spark, d), "2024-01-10", AS_OF, 2)
+    return network.cooccurrence(facts(spark, d), min_events=2)
 
 
 LONG = "long_ as (" + " union all ".join(f"select country, feature_date, '{c}' as feature, {c} as value from features" for c in features.SCORES) + ")"

@@ -42,6 +42,9 @@ edges as (select coalesce(c.country_a, n.country_a) as country_a, coalesce(c.cou
   left join adj on adj.country_a = coalesce(c.country_a, n.country_a) and adj.country_b = coalesce(c.country_b, n.country_b)),
 top_edges as (select * from edges order by weight desc, country_a, country_b limit 500)"""
 NET = (CORR, COOC, ADJ, EDGES)
+#: The read endpoints' edges: co-occurrence of the 21 days up to AS_OF.
+RECENT = "2024-01-10", AS_OF
+RECENT_NET = (CORR, COOC.replace("from facts where", f"from facts where event_date between date '{AS_OF}' - 20 and date '{AS_OF}' and"), ADJ, EDGES)
 
 
 def _adjacent(spark, d):
@@ -55,8 +58,8 @@ def _correlations(spark, d):
     return network.risk_correlations(risk(spark, d), AS_OF, 90, 20)
 
 
-def _edges(spark, d):
-    return network.spillover_edges(_correlations(spark, d), network.cooccurrence(facts(spark, d), "2024-01-10", AS_OF, 2), _adjacent(spark, d))
+def _edges(spark, d, start=None, end=None):
+    return network.spillover_edges(_correlations(spark, d), network.cooccurrence(facts(spark, d), start, end, 2), _adjacent(spark, d))
 
 
 @query("j5_risk_correlations", with_sql("select * from corr_", CORR))
@@ -428,13 +431,13 @@ def _latest(spark, d):
     return timeseries.latest_country_risk(risk(spark, d).select("country", "feature_date", "risk_score"))
 
 
-def _adjacency(spark, d):
-    return network.normalised_adjacency(_edges(spark, d), _latest(spark, d), 0.3)
+def _adjacency(spark, d, *days):
+    return network.normalised_adjacency(_edges(spark, d, *days), _latest(spark, d), 0.3)
 
 
-def _adjusted(spark, d):
+def _adjusted(spark, d, *days):
     n = _latest(spark, d)
-    return network.network_adjusted_risk(n, network.neighbour_enrichment(_adjacency(spark, d), n, ["risk_score"]))
+    return network.network_adjusted_risk(n, network.neighbour_enrichment(_adjacency(spark, d, *days), n, ["risk_score"]))
 
 
 @query("n1_normalised_adjacency", with_sql("select src, dst, round(w + 1e-9, 6) as w from nadj", *NETWORK))
@@ -885,14 +888,14 @@ def api_cluster_browse(spark, d):
     return api.browse_clusters(features.event_clusters(facts(spark, d)), ["military", "protest"], 20, "NATION_7", 12).select("country", "cluster_date", "category", "total_mentions")
 
 
-@query("api_spillover", with_sql("select * from (select case when country_a = 'NATION_7' then country_b else country_a end as neighbor, correlation, cooccurrence, is_adjacent, weight from top_edges where 'NATION_7' in (country_a, country_b)) order by weight desc, neighbor limit 5", *NET))
+@query("api_spillover", with_sql("select * from (select case when country_a = 'NATION_7' then country_b else country_a end as neighbor, correlation, cooccurrence, is_adjacent, weight from top_edges where 'NATION_7' in (country_a, country_b)) order by weight desc, neighbor limit 5", *RECENT_NET))
 def api_spillover(spark, d):
-    return api.country_spillover(_edges(spark, d), "NATION_7")
+    return api.country_spillover(_edges(spark, d, *RECENT), "NATION_7")
 
 
-@query("api_influence", with_sql("select country, imported_risk, amplification, adjusted_risk, (select string_agg(neighbor, ',' order by weight desc, neighbor) from (select * from inf order by weight desc, neighbor limit 5)) as influencers from adjusted where country = 'NATION_3'", *NETWORK, INF))
+@query("api_influence", with_sql("select country, imported_risk, amplification, adjusted_risk, (select string_agg(neighbor, ',' order by weight desc, neighbor) from (select * from inf order by weight desc, neighbor limit 5)) as influencers from adjusted where country = 'NATION_3'", *RECENT_NET, LATEST, NORM_ADJ, INF))
 def api_influence(spark, d):
-    return api.country_influence(_adjusted(spark, d), _edges(spark, d), "NATION_3")
+    return api.country_influence(_adjusted(spark, d, *RECENT), _edges(spark, d, *RECENT), "NATION_3")
 
 
 @query("api_forecast", with_sql("select * from forecasts where country = 'NATION_7'", *FC))

@@ -3,7 +3,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from tidewatch.sources import scratch
+from tidewatch.sources import history, scratch
 from tidewatch.sources.history import History
 from tidewatch.sources.versioned import VersionedTable
 
@@ -91,6 +91,16 @@ def test_full_sketch_is_still_exact(spark, tmp_path):
     assert h.read().count() == 300
 
 
+def test_history_broadcasts_nothing_that_grows(spark, tmp_path, monkeypatch):
+    plans, real = [], history.materialize
+    monkeypatch.setattr(history, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    monkeypatch.setattr(history, "BROADCAST_ROWS", 5)
+    h = History(spark, f"file://{tmp_path}/h")
+    h.append(events(spark, *range(50)))
+    assert h.append(events(spark, *range(40, 60))) == 10 and h.looked_up[1] >= 10
+    assert len(plans) == 6 and "SortMergeJoin" in plans[-1] and not any("Broadcast" in p for p in plans)
+
+
 def test_history_after_a_crash_between_sketch_and_facts(spark, tmp_path, monkeypatch):
     h = History(spark, f"file://{tmp_path}/h")
     h.append(events(spark, 1, 2), "s", 0)

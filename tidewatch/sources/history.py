@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.observation import Observation
 
-from tidewatch.sources.scratch import BROADCAST_ROWS, materialize
+from tidewatch.sources.scratch import BROADCAST_ROWS, materialize, shuffled
 from tidewatch.sources.versioned import VersionedTable
 
 #: For a month of about a million keys; with a multiple of them more keys are looked up exactly, none is missed.
@@ -54,16 +54,16 @@ class History:
         return rows.drop(MONTH) if rows is not None else None
 
     def suspected(self, rows: DataFrame) -> DataFrame:
-        """Rows (keys and event_month) of which all bits are set."""
+        """Rows (keys, each once, and event_month) of which all bits are set."""
         known = self.sketches.read()
         if known is None:
             return rows.limit(0)
         months = [r[0] for r in rows.select(MONTH).distinct().collect()]
         merged = known.filter(F.col(MONTH).isin(months)).groupBy(MONTH, "word").agg(F.bit_or("bits").alias("bits"))
-        asked = rows.select(MONTH, *self.keys, F.explode(_bits(self.keys, self.bits)).alias("b")).select(MONTH, *self.keys, "b.*")
-        hit = asked.join(merged, [MONTH, "word"]).filter(F.col("bits").bitwiseAND(F.col("bit")) != 0)
-        return hit.groupBy(MONTH, *self.keys).agg(F.count_distinct("word", "bit").alias("n")).join(
-            rows.select(*self.keys, F.size(F.array_distinct(_bits(self.keys, self.bits))).alias("all")), list(self.keys)).filter("n = all").select(MONTH, *self.keys)
+        places = rows.select(MONTH, *self.keys, F.array_distinct(_bits(self.keys, self.bits)).alias("places"))
+        asked = places.select(MONTH, *self.keys, F.size("places").alias("all"), F.explode("places").alias("b")).select(MONTH, *self.keys, "all", "b.*")
+        hit = asked.join(shuffled(merged), [MONTH, "word"]).filter(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+        return hit.groupBy(MONTH, *self.keys, "all").agg(F.count("*").alias("n")).filter("n = all").select(MONTH, *self.keys)
 
     def append(self, events: DataFrame, stream: str | None = None, batch: int | None = None) -> int:
         """Append the events whose keys are new, once each; how many. A batch that the log has adds nothing."""
@@ -77,9 +77,10 @@ class History:
         self.looked_up = (months, n)
         fresh = rows
         if months:
-            small = F.broadcast(maybe) if n <= BROADCAST_ROWS else maybe
-            there = self.facts.read().filter(F.col(MONTH).isin(months)).select(*self.keys).join(small.select(*self.keys), list(self.keys), "left_semi")
-            fresh = rows.join(there, list(self.keys), "left_anti")
+            there = self.facts.read().filter(F.col(MONTH).isin(months)).select(*self.keys)
+            if n <= BROADCAST_ROWS:
+                there = F.broadcast(there.join(F.broadcast(maybe.select(*self.keys)), list(self.keys), "left_semi"))
+            fresh = rows.join(there if n <= BROADCAST_ROWS else shuffled(there), list(self.keys), "left_anti")
         seen = Observation(f"append_{uuid.uuid4().hex}")
         fresh = materialize(fresh.observe(seen, F.count(F.lit(1)).alias("n")))
         self.sketches.append(sketch(fresh, self.keys, self.bits))

@@ -35,6 +35,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """``side`` of a join that grows with the input: never broadcast. Catalyst would take it for small, as it goes by the size
+    of compressed files and a share of it for each column read."""
+    return side.hint("merge")
+
+
 def counted_broadcast(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``small`` (materialised) marked for broadcast if it counts at most ``rows`` rows, else as it is."""
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.observation import Observation
 
+from tidewatch.sources.scratch import shuffled
+
 
 def append_new_events(events: DataFrame, path: str, history: DataFrame | None, keys=("global_event_id", "event_date")) -> int:
     """Append rows whose keys are new; returns how many. The count is observed during the write."""
     fresh = events.dropDuplicates(list(keys))
     if history is not None:
-        fresh = fresh.join(history.select(*keys), list(keys), "left_anti")
+        fresh = fresh.join(shuffled(history.select(*keys)), list(keys), "left_anti")
     seen = Observation(f"append_{uuid.uuid4().hex}")
     fresh.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
     return int(seen.get["n"])

@@ -111,3 +111,33 @@ def test_round_is_written_once(spark, tmp_path):
     with pytest.raises(Exception, match="exist"):
         write_round(spark, folder, 1, ["b"])
     assert round_files(folder, 1) == ["a"]
+
+
+def test_rounds_are_taken_in_groups(spark, landed):
+    tmp_path, stamps = landed
+    job = ingest(spark, tmp_path, per_round=1, at_once=3)
+    (tmp_path / "files" / f"{stamps[1]}.export.CSV.zip").write_bytes(b"no archive")
+    assert job.run_all() == 7 and [len(round_files(job.groups, n)) for n in round_numbers(job.groups)] == [2, 2, 2]
+    assert taken(job) == [[s] for s in (*stamps[:3], stamps[1], *stamps[3:], stamps[1])]  # what failed comes first in the next group
+    found = ledger(job)
+    assert [found[s].status for s in stamps] == ["done", "error", "done", "done", "done"] and found[stamps[1]].attempts == 3
+    assert sorted(r.global_event_id for r in job.history.read().collect()) == sorted({1} | {10 * k + j for k in (0, 2, 3, 4) for j in (1, 2)})
+
+
+def test_rounds_written_before_a_death_are_taken(spark, landed):
+    tmp_path, stamps = landed
+    job = ingest(spark, tmp_path, per_round=2)
+    job.ledger.upsert(job.registered(), ["file_url"], [])
+    write_round(spark, job.rounds, 1, [URL.format(s) for s in stamps[:2]])
+    assert job.run_all() == 3 and taken(job) == [stamps[:2], stamps[2:4], stamps[4:]] and {r.status for r in ledger(job).values()} == {"done"}
+
+
+def test_many_small_archives_share_partitions(spark, tmp_path):
+    for k in range(70):
+        put(tmp_path, f"2024{k:010d}", *range(10 * k, 10 * k + 10), members=2)
+    rows = readers.expand_zip_archives(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() < 10 and rows.select("file").distinct().count() == 70
+    assert sorted(int(r.global_event_id) for r in readers.events_of_lines(rows).select("global_event_id").collect()) == list(range(700))
+    (tmp_path / "x.zip").write_bytes(b"no archive")
+    with pytest.raises(Exception, match="BadZipFile"):
+        readers.expand_zip_archives(spark, str(tmp_path)).count()

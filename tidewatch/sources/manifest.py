@@ -1,9 +1,10 @@
 """Files named by a manifest as a Spark data source, in rounds, with archives read by member.
 
 A round is an immutable list of files. The stream's offset is the number of the last round taken, so a batch that runs again
-reads the same files. Each member of a zip archive is a partition of its own: the archive's directory is read when partitions
-are planned, and a task streams its member by range reads, so neither an archive nor a member is ever held whole. What can't be
-read gives a row with ``error`` instead of failing the batch.
+reads the same files. Of a few files, or of large archives, each member is a partition of its own: the archive's directory is read
+when partitions are planned. Many small files are packed instead, several into one partition, by their listed sizes and in their order,
+and are only opened by its task. A task streams member by member through range reads, so neither an archive nor a member is
+ever held whole. What can't be read gives a row with ``error`` instead of failing the batch.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 BLOCK_LINES = 10_000
+#: Up to so many files are opened while partitions are planned; of more, those below PACK_BYTES are packed into partitions of so
+#: many bytes, each file counting OPEN_BYTES more than it has.
+PLANNED_FILES, PACK_BYTES, OPEN_BYTES = 64, 64 << 20, 2 << 20
 SCHEMA = "file_url string, line string, error string"
 _ARROW = pa.schema([("file_url", pa.string()), ("line", pa.string()), ("error", pa.string())])
 
@@ -45,6 +49,43 @@ class Member(InputPartition):
         self.file_url, self.path, self.member, self.error = file_url, path, member, error
 
 
+def _sizes(paths: list[str]) -> list[int]:
+    """Bytes of each file, 0 of one that isn't there."""
+    from pyarrow import fs
+
+    if not paths:
+        return []
+    files, _ = fs.FileSystem.from_uri(paths[0]) if "://" in paths[0] else (fs.LocalFileSystem(), "")
+    places = [fs.FileSystem.from_uri(p)[1] if "://" in p else p for p in paths]
+    return [f.size or 0 for f in files.get_file_info(places)]
+
+
+class Pack(InputPartition):
+    """Files (file_url, path) that one task opens one after the other."""
+
+    def __init__(self, files: list[tuple[str, str]]):
+        super().__init__(len(files))
+        self.files = files
+
+
+def packed(files: list[tuple[str, str]], suffixes: tuple[str, ...]) -> list[InputPartition]:
+    """Partitions of files (file_url, path): members of archives, and packs where there are many small files."""
+    if len(files) <= PLANNED_FILES:
+        return [m for url, path in files for m in members(url, path, suffixes)]
+    found: list[InputPartition] = []
+    held, weight = [], 0
+    for (url, path), size in zip(files, _sizes([path for _, path in files])):
+        if size >= PACK_BYTES:
+            found += members(url, path, suffixes)
+            continue
+        if held and weight + size + OPEN_BYTES > PACK_BYTES:
+            found.append(Pack(held))
+            held, weight = [], 0
+        held.append((url, path))
+        weight += size + OPEN_BYTES
+    return [*found, Pack(held)] if held else found
+
+
 def members(file_url: str, path: str, suffixes: tuple[str, ...]) -> list[Member]:
     if not path.lower().endswith(".zip"):
         return [Member(file_url, path)]
@@ -53,6 +94,8 @@ def members(file_url: str, path: str, suffixes: tuple[str, ...]) -> list[Member]
             found = [Member(file_url, path, m) for m in z.namelist() if m.lower().endswith(suffixes)]
     except (OSError, zipfile.BadZipFile) as e:
         return [Member(file_url, path, error=f"{type(e).__name__}: {e}")]
+    except pa.ArrowInvalid as e:  # a file too short to seek in
+        return [Member(file_url, path, error=f"BadZipFile: {e}")]
     return found or [Member(file_url, path, error="no member to read")]
 
 
@@ -77,7 +120,7 @@ def lines(part: Member) -> Iterator[pa.RecordBatch]:
                         held = []
         if held:
             yield batch(held)
-    except (OSError, EOFError, zipfile.BadZipFile, zipfile.zlib.error) as e:
+    except (OSError, EOFError, zipfile.BadZipFile, zipfile.zlib.error, pa.ArrowInvalid) as e:
         yield batch([None], f"{type(e).__name__}: {e}")
 
 
@@ -87,15 +130,17 @@ class _Reader:
         self.suffixes = tuple(options.get("suffixes", ".csv,.txt").split(","))
         self.strict = False
 
-    def read(self, partition: Member) -> Iterator[pa.RecordBatch]:
-        for batch in lines(partition):
-            if self.strict and batch.column("error")[0].is_valid:
-                raise ValueError(f"{partition.path}: {batch.column('error')[0]}")
-            yield batch
+    def read(self, partition: Member | Pack) -> Iterator[pa.RecordBatch]:
+        parts = (m for url, path in partition.files for m in members(url, path, self.suffixes)) if isinstance(partition, Pack) else [partition]
+        for part in parts:
+            for batch in lines(part):
+                if self.strict and batch.column("error")[0].is_valid:
+                    raise ValueError(f"{part.path}: {batch.column('error')[0]}")
+                yield batch
 
-    def _members(self, urls: list[str]) -> list[Member]:
+    def _members(self, urls: list[str]) -> list[InputPartition]:
         place = lambda url: f"{self.root.rstrip('/')}/{url.rsplit('/', 1)[-1]}" if self.root else url
-        return [m for url in urls for m in members(url, place(url), self.suffixes)]
+        return packed([(url, place(url)) for url in urls], self.suffixes)
 
 
 class _Files(_Reader, DataSourceReader):

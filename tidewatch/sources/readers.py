@@ -62,8 +62,8 @@ def read_polecat(spark: SparkSession, path: str, years: list[int] | None = None,
 
 
 def expand_zip_archives(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".csv", ".txt")) -> DataFrame:
-    """file and line of every text member of the zip archives in the folder ``path``. Each member is a task of its own that
-    streams it by range reads; suffixes are matched without regard to case, and what can't be read raises."""
+    """file and line of every text member of the zip archives in the folder ``path``. A task streams members by range reads,
+    one of a large archive or those of many small ones; suffixes are matched without regard to case, and what can't be read raises."""
     spark.dataSource.register(ManifestFiles)
     rows = spark.read.format("manifest_files").option("path", path).option("names", "*.zip").option("suffixes", ",".join(suffixes)).load()
     return rows.select(F.element_at(F.split("file_url", "/"), -1).alias("file"), "line")

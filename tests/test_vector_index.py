@@ -63,3 +63,22 @@ def test_few_vectors(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id) for r in vector_index.nearest(rows, rows.filter("vec_id = 0")).collect()] == [(0, 1)]
     assert vector_index.nearest(rows.limit(1), rows.limit(1)).collect() == [] and vector_index.nearest(rows.limit(0), rows).collect() == []
+
+
+def test_blocks_of_lists_and_queries(clustered, index, monkeypatch):
+    """Lists and queries dealt into small blocks give the same rows."""
+    queries = clustered[1].filter("vec_id % 90 = 0")
+    key = lambda rows: sorted(tuple(r) for r in rows.collect())
+    whole = key(vector_index.search(index, queries, 5))
+    monkeypatch.setattr(vector_index, "BLOCK", 7)
+    assert key(vector_index.search(index, queries, 5)) == whole and len(whole) == 5 * 34
+
+
+def test_a_block_keeps_the_smallest_ids_of_copies():
+    import pyarrow as pa
+
+    unit = [[1.0, 0.0]] * 50 + [[0.0, 1.0]]
+    v = pa.table({"vec_id": pa.array(range(51)), "unit": pa.array(unit)})
+    found = vector_index._block_nearest(v, pa.table({"query_id": pa.array([0]), "q": pa.array([[1.0, 0.0]])}), 3)
+    assert found.column("vec_id").to_pylist() == [1, 2, 3] and found.column("dot").to_pylist() == [1.0] * 3
+    assert vector_index._block_nearest(v, pa.table({"query_id": pa.array([], "int64"), "q": pa.array([], pa.list_(pa.float64()))}), 3).num_rows == 0

@@ -4,7 +4,7 @@ The index is written once: vectors of length one, partitioned by the list of the
 its size and its radius (the widest angle between the centroid and a member). A query at angle a from a centroid can't be nearer than
 a - radius to any member. So a query first opens the lists with the best bounds, until they hold ``FIRST * k`` vectors; its k-th cosine
 there is its bar, and of the other lists only those whose bound reaches the bar are opened. Vectors are moved once, when they are
-written; a search joins the files of the lists with the small table of which query opens which list.
+written; a search meets the blocks of each list with the queries that open it, and scores a block as a matrix product.
 
 Centroids are fitted on at most ``SAMPLE`` vectors (by hash of their id); every vector is indexed. Vectors that are null, of
 length zero or hold a null or no finite number have no cosine and take no part.
@@ -14,13 +14,17 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import r6
-from tidewatch.sources.scratch import counted_broadcast, materialize, new_path
+from tidewatch.sources.scratch import materialize, new_path, shuffled
 
 LISTS, SAMPLE, FIRST = 100, 20_000, 4
+#: Vectors, and queries, of one group of a search at most (about; longer lists are dealt into blocks), and pairs scored at once.
+BLOCK, PAIRS = 20_000, 2_000_000
 
 
 class VectorIndex(NamedTuple):
@@ -79,11 +83,48 @@ def bounds(index: VectorIndex, q: DataFrame) -> DataFrame:
     return s.withColumn("before", F.sum("n").over(order) - F.col("n")).withColumn("place", F.row_number().over(order))
 
 
+def _block_nearest(vectors: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """query_id, vec_id and dot: at least the ``k`` nearest in a block, its ties included.
+
+    A matrix product finds who is within the rounding of the k-th; their dots are summed in order, as ``dot`` does. Of
+    vectors with one dot the ``k`` smallest ids stay.
+    """
+    ids, asking = (t.column(c).to_numpy() for t, c in ((vectors, "vec_id"), (asked, "query_id")))
+    out: list[tuple] = []
+    if len(ids) and len(asking):
+        v, q = (t.column(c).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t, c in ((vectors, "unit"), (asked, "q")))
+        step = max(1, PAIRS // len(ids))
+        for at in range(0, len(asking), step):
+            mine = asking[at : at + step]
+            s = q[at : at + step] @ v.T
+            s[mine[:, None] == ids] = -np.inf
+            least = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(mine), -2.0)
+            i, j = np.nonzero(s >= np.maximum(least - 3e-6, -2.0)[:, None])
+            exact = np.zeros(len(i))
+            for c in range(v.shape[1]):
+                exact += v[j, c] * q[at + i, c]
+            order = np.lexsort((ids[j], -exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            place = np.arange(len(i))
+            first = np.r_[True, (i[1:] != i[:-1]) | (exact[1:] != exact[:-1])] if len(i) else np.zeros(0, bool)
+            kept = place - np.maximum.accumulate(np.where(first, place, 0)) < k
+            out.append((mine[i[kept]], ids[j[kept]], exact[kept]))
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)]
+    return pa.table(dict(zip(("query_id", "vec_id", "dot"), columns)))
+
+
 def _nearest(index: VectorIndex, q: DataFrame, opened: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, cosine, rank of the ``k`` nearest in the opened lists, the query's own row left out."""
-    pairs = index.vectors.join(counted_broadcast(opened.select("query_id", "list")), "list").join(counted_broadcast(q), "query_id").filter(F.col("vec_id") != F.col("query_id"))
+    blocks = -(-(index.lists.agg(F.max("n")).first()[0] or 1) // BLOCK)
+    parts = -(-max(q.count(), 1) // BLOCK)
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    vectors = index.vectors.select("list", dealt("vec_id", blocks).alias("block"), spread(parts).alias("part"), "vec_id", "unit")
+    asked = opened.select("query_id", "list").join(shuffled(q), "query_id").select("list", spread(blocks).alias("block"), dealt("query_id", parts).alias("part"), "query_id", "q")
+    keys = ["list", "block", "part"]
+    found = vectors.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(lambda v, a: _block_nearest(v, a, k), "query_id long, vec_id long, dot double")
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return pairs.select("query_id", "vec_id", r6(dot(F.col("unit"), F.col("q"))).alias("cosine")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.select("query_id", "vec_id", r6(F.col("dot")).alias("cosine")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def search(index: VectorIndex, queries: DataFrame, k: int = 5, probes: int | None = None) -> DataFrame:

@@ -42,5 +42,5 @@ def shuffled(side: DataFrame) -> DataFrame:
 
 
 def counted_broadcast(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``small`` (materialised) marked for broadcast if it counts at most ``rows`` rows, else as it is."""
-    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+    """``small`` (materialised) marked for broadcast if it counts at most ``rows`` rows, else never broadcast."""
+    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else shuffled(small)

@@ -147,3 +147,15 @@ def test_forecaster_learns_every_step_before_the_cut(spark):
     model = scoring.fit_forecaster(scoring.before_cut(pairs, 12))
     worst = model.transform(pairs.filter("step <= 8")).agg(F.max(F.greatest(*[F.abs(F.col(f"p{k}") - F.col(f"t{k}")) for k in range(1, 5)]))).first()[0]
     assert worst < 0.3
+
+
+def test_lines_land_compressed_in_files_of_bounded_length(spark, tmp_path):
+    from pathlib import Path
+
+    from tidewatch.sources import sinks
+
+    lines = spark.range(1000).selectExpr("concat(id, repeat('u', 1000)) as line").coalesce(1)
+    sinks.write_lines(lines, f"file://{tmp_path}/out", 300)
+    files = list(Path(tmp_path, "out").glob("*.gz"))
+    assert len(files) == 4 and sum(f.stat().st_size for f in files) < 100_000
+    assert sorted(r.value for r in spark.read.text(f"file://{tmp_path}/out").collect()) == sorted(r.line for r in lines.collect())

@@ -934,7 +934,7 @@ def read_events(spark, d):
 
     out, raw = scratch(spark), raw_events(spark, d)
     lines = raw.select(F.concat_ws("\t", *[F.coalesce(F.col(c), F.lit("")) if c in raw.columns else F.lit("") for c in readers.V1_COLUMNS]).alias("line"))
-    lines.write.text(out)
+    sinks.write_lines(lines, out)
     return parse_events(readers.read_events_v1(spark, out)).select("global_event_id", "event_date", "quad_class")
 
 
@@ -964,7 +964,7 @@ def read_events_v2(spark, d):
     from tidewatch.operators.clean import parse_events
 
     out = scratch(spark)
-    _lines(spark, d, readers.V2_COLUMNS).write.text(out)
+    sinks.write_lines(_lines(spark, d, readers.V2_COLUMNS), out)
     return parse_events(readers.read_events_v2(spark, out)).select(*PLACED)
 
 

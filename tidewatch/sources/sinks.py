@@ -94,5 +94,10 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_lines(lines: DataFrame, path: str, rows: int = 250_000) -> None:
+    """Text files, gzipped, of at most ``rows`` lines, as a compressed file is read by one task."""
+    lines.write.option("compression", "gzip").option("maxRecordsPerFile", rows).text(path)
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)

@@ -496,6 +496,30 @@ def test_forward_scores_are_the_best_of_all_segmentations():
         assert abs(sum(table[names[i]] if i < 300 else p.unknown for i in ids) - best(word)) < 1e-9
 
 
+def test_walk_tries_only_pieces_that_end_at_each_place(texts):
+    """The automaton's lists against all substrings, with a character that is in pieces but none itself, and an unknown one."""
+    rng = random.Random(7)
+    table = {x: -1.0 * i for i, x in enumerate(["a", "b", "ab", "bca", "cab", "abca", "ca", "cc", "bcabb"])}
+    small = pieces.Pieces({x: i for i, x in enumerate(table)}, table, {b: 300 + b for b in range(256)})
+    real = pieces.Pieces.load(SP)
+    longest = max(map(len, real.ids))
+    marked = [pieces.MARK + w for w in " ".join(texts.values()).split()[:3000]]
+    for p, words in ((small, ["".join(rng.choice("aabbccd") for _ in range(30)) for _ in range(50)]), (real, marked)):
+        step, back, ending = p.machine
+        tried = places = 0
+        for word in words:
+            state = 0
+            for end, ch in enumerate(word, 1):
+                while ch not in step[state] and state:
+                    state = back[state]
+                state = step[state].get(ch, 0)
+                want = [w for w in (word[i:end] for i in range(max(0, end - longest), end)) if w in p.ids or len(w) == 1]
+                assert [x[0] for x in ending[state]] == (want if state else []) and (state or want == [ch])
+                assert all(n == len(w) and own == p.scores.get(w, p.unknown) for w, n, own in ending[state])
+                tried, places = tried + len(want), places + min(end, longest)
+    assert tried < 0.6 * places  # every start within reach was tried before
+
+
 def test_encoding_and_decoding_frames(documents):
     both = pieces.encoded_documents(documents, SP, with_decoded=True)
     assert both.filter("decoded <> text or size(piece_ids) = 0").count() == 0

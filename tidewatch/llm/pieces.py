@@ -3,7 +3,8 @@
 A text is marked (spaces become U+2581, one more goes in front) and cut before each run of marks; no piece of the
 vocabulary has a mark after another character, so words never interact. The distinct marked words of a block of texts are
 sorted and walked depth-first as a trie: the forward scores of a common prefix are computed once. A state holds, for a
-prefix of the word, the best score of a segmentation, its last piece and where that starts.
+prefix of the word, the best score of a segmentation, its last piece and where that starts. The pieces that can end a prefix
+are listed by an Aho-Corasick automaton over the vocabulary, so substrings that are no pieces are never looked up.
 
 In a unigram vocabulary scores are log probabilities and every transition counts. In a merge (BPE) vocabulary scores are
 merge ranks, whole numbers, and the sum of scores alone would not give the segmentation that its merges
@@ -47,12 +48,12 @@ class Pieces:
         #: Of a character without a piece, as in the library: below every piece.
         self.unknown = min(scores.values()) - 10.0
         self.codes = {p: i.to_bytes(2, "little") for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
         self.text = [b""] * (1 + max(*ids.values(), *byte_ids.values()))
         for p, i in self.ids.items():
             self.text[i] = p.replace(MARK, " ").encode()
         for b, i in self.bytes.items():
             self.text[i] = bytes([b])
+        self.machine = self.automaton()
         self.ok: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
 
@@ -89,41 +90,77 @@ class Pieces:
             found = self.ok[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return found
 
+    def automaton(self) -> tuple[list[dict[str, int]], list[int], list[tuple[tuple[str, int, float], ...]]]:
+        """Aho-Corasick states, one for each prefix of a piece: the next states by character, the state of the longest proper
+        suffix that is one too, and the pieces that end here, longest first, as (piece, length, score). A last character
+        that is no piece counts as one with the score of unknown ones."""
+        scores, step, back, ending = self.scores, [{}], [0], [()]
+        for piece in scores:
+            state = 0
+            for ch in piece:
+                if ch not in step[state]:
+                    step[state][ch] = len(step)
+                    step.append({})
+                    back.append(0)
+                    ending.append(())
+                state = step[state][ch]
+            ending[state] = ((piece, len(piece), scores[piece]),)
+        level = [(0, ch, s) for ch, s in step[0].items()]
+        while level:
+            for parent, ch, state in level:
+                if parent:
+                    shorter = back[parent]
+                    while shorter and ch not in step[shorter]:
+                        shorter = back[shorter]
+                    back[state] = step[shorter].get(ch, 0)
+                    ending[state] += ending[back[state]]
+                if ch not in scores and (not ending[state] or ending[state][-1][1] > 1):
+                    ending[state] += ((ch, 1, self.unknown),)
+            level = [(state, ch, s) for _, _, state in level for ch, s in step[state].items()]
+        return step, back, ending
+
     def walk(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Each of the sorted ``words`` with its ids, depth-first: for each prefix of the current word, ``forward`` has the
-        best score, ``last`` its last piece and ``froms`` where that starts; all are cut back to what the next word shares."""
-        forward, last, froms = [0.0], [""], [0]
-        before, scores, longest, merges, allowed, code, unknown = "", self.scores, self.longest, self.merges, self.allowed, self.code, self.unknown
+        best score, ``last`` its last piece, ``froms`` where that starts and ``states`` the automaton's state; all are cut back
+        to what the next word shares."""
+        forward, last, froms, states = [0.0], [""], [0], [0]
+        before, merges, allowed, code, unknown = "", self.merges, self.allowed, self.code, self.unknown
+        step, back, ending = self.machine
+        ok = self.ok
         for word in words:
             shared = 0
             for x, y in zip(before, word):
                 if x != y:
                     break
                 shared += 1
-            del forward[shared + 1 :], last[shared + 1 :], froms[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                best = None
-                for start in range(max(0, end - longest), end):
-                    piece = word[start:end]
-                    score = scores.get(piece)
-                    if score is None:
-                        if end - start > 1:
-                            continue
-                        score = unknown
-                    if merges and not allowed(last[start], piece):
-                        continue
-                    if best is None or forward[start] + score > best[0]:
-                        best = forward[start] + score, piece, start
+            del forward[shared + 1 :], last[shared + 1 :], froms[shared + 1 :], states[shared + 1 :]
+            state = states[shared]
+            for end, ch in enumerate(word[shared:], shared + 1):
+                while ch not in step[state] and state:
+                    state = back[state]
+                state = step[state].get(ch, 0)
+                score = None
+                for piece, n, own in ending[state] if state else ((ch, 1, unknown),):
+                    start = end - n
                     if merges:
-                        break
-                for held, value in zip((forward, last, froms), best):
-                    held.append(value)
+                        pair = last[start], piece
+                        good = ok.get(pair)
+                        if allowed(*pair) if good is None else good:
+                            score, best, origin = forward[start] + own, piece, start
+                            break
+                    elif score is None or forward[start] + own > score:
+                        score, best, origin = forward[start] + own, piece, start
+                forward.append(score)
+                last.append(best)
+                froms.append(origin)
+                states.append(state)
             before = word
             path, end = [], len(word)
             while end:
                 path.append(code(last[end]))
                 end = froms[end]
-            yield word, b"".join(path[::-1])
+            path.reverse()
+            yield word, b"".join(path)
 
     def code(self, piece: str) -> bytes:
         return self.codes.get(piece) or b"".join([self.bytes[b].to_bytes(2, "little") for b in piece.encode()])

@@ -58,3 +58,10 @@ def test_retrieval_of_nothing(spark):
     q = spark.createDataFrame([(1, "alpha")], "q long, text string")
     assert retrieval.retrieve(docs.limit(0), q, "id", "q").collect() == [] and retrieval.retrieve(docs, q.limit(0), "id", "q").collect() == []
     assert retrieval.retrieve(docs, q, "id", "q").count() == 1
+
+
+def test_texts_are_not_read_again_for_the_weights(spark):
+    """The tf-idf index rests on counts of its vocabulary that are written once; texts are gone through while these are made only."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    index = text.tfidf_index(docs, "doc_id")
+    assert not set(index.inputFiles()) & set(docs.inputFiles()) and index.count() > 0

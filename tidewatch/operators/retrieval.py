@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import r6
-from tidewatch.operators.text import STOP_WORDS
+from tidewatch.operators.text import occurrences, vocabulary_counts
 from tidewatch.sources.scratch import counted_broadcast, materialize, new_path
 
 BASE = 1.2
@@ -33,16 +33,6 @@ SLACK = 0.7
 DIGITS = 4
 
 
-#: A word of two or more ASCII letters that touches no other letter, digit or underscore.
-WORD = r"(?<![\p{L}\p{N}_])[a-z]{2,}+(?![\p{L}\p{N}_])"
-
-
-def occurrences(rows: DataFrame, key: str, text: str, name: str) -> DataFrame:
-    """``key`` as ``name`` and term, one row per occurrence; the same terms as ``text.tokens``."""
-    words = rows.select(F.col(key).alias(name), F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("term"))
-    return words.filter(~F.col("term").isin(*STOP_WORDS))
-
-
 class Index(NamedTuple):
     #: doc, vector (term to weight)
     forward: DataFrame
@@ -56,14 +46,9 @@ class Index(NamedTuple):
 def write_index(docs: DataFrame, key: str, path: str, text: str = "text", size: int = 800) -> Index:
     """Index the documents' terms among the ``size`` most frequent: term share times ln((1+N)/(1+df))+1, L2-normalised."""
     spark = docs.sparkSession
-    found = occurrences(docs, key, text, "doc")
-    # texts are gone through twice, so that words outside the vocabulary are never shuffled by document
-    vocabulary = materialize(found.groupBy("term").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "term").limit(size).select("term"))
-    counts = materialize(found.join(F.broadcast(vocabulary), "term").groupBy("doc", "term").agg(F.count("*").alias("n")))
-    n = docs.agg(F.count("*")).scalar()
-    idf = counts.groupBy("term").agg((F.log((1 + n) / (1 + F.count("*"))) + 1.0).alias("idf"))
+    counts, idf = vocabulary_counts(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "doc", size=size)
     part = F.col("n") * F.col("idf")
-    rows = counts.join(F.broadcast(idf), "term").groupBy("doc").agg(F.collect_list(F.struct("term", part.alias("w"))).alias("r"), F.sum("n").alias("total"), F.sqrt(F.sum(part * part)).alias("norm"))
+    rows = counts.join(counted_broadcast(idf), "term").groupBy("doc").agg(F.collect_list(F.struct("term", part.alias("w"))).alias("r"), F.sum("n").alias("total"), F.sqrt(F.sum(part * part)).alias("norm"))
     weight = lambda w: w / F.col("total") / (F.col("norm") / F.col("total") + 1e-8)
     vector = F.map_from_entries(F.transform("r", lambda x: F.struct(x["term"], weight(x["w"]))))
     rows.select("doc", vector.alias("vector")).write.parquet(f"{path}/forward")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import r6, risk_tier
+from tidewatch.sources.scratch import counted_broadcast, materialize
 
 # The stop list.
 STOP_WORDS = (
@@ -23,26 +24,43 @@ def tokens(text: Column, stop=STOP_WORDS) -> Column:
     return F.filter(words, lambda w: w.rlike("^[a-z]{2,}$") & ~F.array_contains(stops, w))
 
 
+#: A word of two or more ASCII letters that touches no other letter, digit or underscore.
+WORD = r"(?<![\p{L}\p{N}_])[a-z]{2,}+(?![\p{L}\p{N}_])"
+
+
+def occurrences(rows: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """``key`` as ``name`` and term, one row per occurrence; the same terms as ``tokens``."""
+    words = rows.select(F.col(key).alias(name), F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("term"))
+    return words.filter(~F.col("term").isin(*STOP_WORDS))
+
+
 def terms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, term, n."""
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    return occurrences(docs, key, text, key).groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
-def build_vocabulary(counts: DataFrame, size: int = 800) -> DataFrame:
-    """The most frequent terms; ties by term."""
-    return counts.groupBy("term").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "term").limit(size)
+def build_vocabulary(found: DataFrame, size: int = 800) -> DataFrame:
+    """The most frequent terms of ``found``, one row per occurrence; ties by term."""
+    return found.groupBy("term").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "term").limit(size)
+
+
+def vocabulary_counts(docs: DataFrame, key: str, text: str = "text", size: int = 800) -> tuple[DataFrame, DataFrame]:
+    """key, term, n of the ``size`` most frequent terms, and their idf, ln((1+N)/(1+df))+1, as term and idf; both written once."""
+    found = occurrences(docs, key, text, key)
+    # texts are gone through twice, so that words outside the vocabulary are never shuffled by row
+    vocabulary = materialize(build_vocabulary(found, size).select("term"))
+    counts = materialize(found.join(counted_broadcast(vocabulary), "term").groupBy(key, "term").agg(F.count("*").alias("n")))
+    n = docs.agg(F.count("*")).scalar()
+    return counts, materialize(counts.groupBy("term").agg((F.log((1 + n) / (1 + F.count("*"))) + 1.0).alias("idf")))
 
 
 def tfidf_index(docs: DataFrame, key: str, text: str = "text", size: int = 800) -> DataFrame:
     """key, term, weight: term share of the row's vocabulary terms, times ln((1+N)/(1+df))+1, L2-normalised."""
-    c = terms(docs, key, text)
-    c = c.join(build_vocabulary(c, size).select("term"), "term", "left_semi")
-    n = docs.agg(F.count("*")).scalar()
-    df = c.groupBy("term").agg((F.log((1 + n) / (1 + F.count("*"))) + 1.0).alias("idf"))
-    total = c.groupBy(key).agg(F.sum("n").alias("total"))
-    w = c.join(df, "term").join(total, key).select(key, "term", (F.col("n") / F.col("total") * F.col("idf")).alias("w"))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, key).select(key, "term", (F.col("w") / (F.col("norm") + 1e-8)).alias("weight"))
+    counts, idf = vocabulary_counts(docs, key, text, size)
+    part = F.col("n") * F.col("idf")
+    rows = counts.join(counted_broadcast(idf), "term").groupBy(key).agg(F.collect_list(F.struct("term", part.alias("w"))).alias("r"), F.sum("n").alias("total"), F.sqrt(F.sum(part * part)).alias("norm"))
+    each = rows.select(key, "total", "norm", F.explode("r").alias("r"))
+    return each.select(key, "r.term", (F.col("r.w") / F.col("total") / (F.col("norm") / F.col("total") + 1e-8)).alias("weight"))
 
 
 def retrieve(index: DataFrame, queries: DataFrame, key: str, query_key: str, text: str = "text", k: int = 3, min_sim: float = 0.05) -> DataFrame:

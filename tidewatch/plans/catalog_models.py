@@ -722,7 +722,7 @@ def tokenise(spark, d):
 
 @query("t2_vocabulary", with_sql("select * from vocab", TERMS))
 def vocabulary(spark, d):
-    return text.build_vocabulary(text.terms(table(spark, d, "documents"), "doc_id"))
+    return text.build_vocabulary(text.occurrences(table(spark, d, "documents"), "doc_id", "text", "doc_id"))
 
 
 @query("t3_tfidf_index", with_sql("select doc_id, term, round(weight + 1e-9, 5) as weight from tfidf", TERMS))

@@ -65,3 +65,13 @@ def test_texts_are_not_read_again_for_the_weights(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     index = text.tfidf_index(docs, "doc_id")
     assert not set(index.inputFiles()) & set(docs.inputFiles()) and index.count() > 0
+
+
+def test_pairs_are_not_gathered_before_they_are_shuffled(spark):
+    """A task that reads postings holds no (query, document) pairs: nothing is grouped between the index and the exchange."""
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    index = retrieval.write_index(docs, "doc_id", new_path(spark))
+    _, pairs = retrieval.candidates(index, retrieval.query_vectors(index, items, "item_id"), 3, 0.05)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    dealt = plan.index("Exchange hashpartitioning(query")
+    assert "Aggregate" in plan[:dealt] and "Aggregate" not in plan[dealt:] and "Join" in plan[dealt:]

@@ -83,7 +83,7 @@ def _scored(index: Index, pairs: DataFrame, q: DataFrame) -> DataFrame:
 def bars(index: Index, q: DataFrame, steps: DataFrame, k: int, min_sim: float, first: int = FIRST) -> DataFrame:
     """query, bar: the k-th best score among the documents of each query's first bands, at least ``min_sim``."""
     opened = counted_broadcast(steps.filter(F.col("before") < first).select("query", "term", "band"))
-    pairs = index.postings.join(opened, ["term", "band"]).select("query", "doc").distinct()
+    pairs = index.postings.join(opened, ["term", "band"]).select("query", "doc").repartition("query", "doc").distinct()
     best = Window.partitionBy("query").orderBy(F.desc("score"))
     kth = _scored(index, pairs, q).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("s"))
     low = F.greatest(F.when(F.col("n") >= k, F.col("s")), F.lit(min_sim))
@@ -106,8 +106,9 @@ def candidates(index: Index, q: DataFrame, k: int, min_sim: float) -> tuple[Data
     # what is unopened of all terms of the query
     bound = F.sum(F.when(F.col("before") == 0, F.col("left"))).over(Window.partitionBy("query"))
     opened = materialize(o.withColumn("bound", bound).filter("open").select("query", "term", "band", "q", "left", (F.col("bar") - F.col("bound")).alias("least")))
-    met = index.postings.join(counted_broadcast(opened), ["term", "band"]).groupBy("query", "doc").agg(
-        F.sum(F.col("q") * F.col("weight") - F.col("left")).alias("gain"), F.first("least").alias("least"))
+    # postings come by term, so a task would hold nearly all its pairs before it shuffled them: they are dealt out as they are
+    gains = index.postings.join(counted_broadcast(opened), ["term", "band"]).select("query", "doc", (F.col("q") * F.col("weight") - F.col("left")).alias("gain"), "least")
+    met = gains.repartition("query", "doc").groupBy("query", "doc").agg(F.sum("gain").alias("gain"), F.first("least").alias("least"))
     return opened, met.filter(F.col("gain") >= F.col("least") - 1e-9).select("query", "doc")
 
 

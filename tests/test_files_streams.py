@@ -159,3 +159,23 @@ def test_lines_land_compressed_in_files_of_bounded_length(spark, tmp_path):
     files = list(Path(tmp_path, "out").glob("*.gz"))
     assert len(files) == 4 and sum(f.stat().st_size for f in files) < 100_000
     assert sorted(r.value for r in spark.read.text(f"file://{tmp_path}/out").collect()) == sorted(r.line for r in lines.collect())
+
+
+@pytest.mark.parametrize("name, batches", [("x1_x2_streaming_ingest", 2), ("x2_latest_first", None)])
+def test_streams_land_compressed_lines(spark, tmp_path, monkeypatch, name, batches):
+    from pathlib import Path
+
+    folders = [f"file://{tmp_path}/{n}" for n in ("landed", "out", "audit", "state")]
+    for times in (1, 3) if batches else (1,):  # with more events than LANDED_EVENTS more files, not longer ones, in as many batches
+        made = iter([f"{f}{times}" for f in folders])
+        monkeypatch.setattr(catalog_models, "scratch", lambda s: next(made))
+        monkeypatch.setattr(catalog_models, "LANDED_EVENTS", -(-spark.read.parquet(f"{SF}/events.parquet").count() // times), raising=False)
+        got = catalog_models.QUERIES[name](spark, SF)
+        files = list(Path(tmp_path, f"landed{times}").glob("part-*"))
+        assert all(f.name.endswith(".gz") for f in files) and sum(f.stat().st_size for f in files) < 100_000
+        text = sum(len(r.value) for r in spark.read.text(f"{folders[0]}{times}").collect())
+        assert text > 500_000
+        expected = catalog_models.facts(spark, SF).count()
+        assert 0 < got.count() < expected and got.distinct().count() == got.count()
+        if batches:
+            assert len(files) == 4 * times and len(list(Path(tmp_path, f"state{times}", "commits").glob("[0-9]*"))) == batches

@@ -1145,14 +1145,17 @@ def streaming_weekly(spark, d):
     return jobs.run_to_table(jobs.weekly_aggregate(_stream(spark, d)), scratch(spark))
 
 
+#: A landing of more events has more files, and its batches take more, in the same measure: no file grows, and there are as many batches.
+LANDED_EVENTS = 500_000
+
+
 @query("x1_x2_streaming_ingest", with_sql("select global_event_id, event_date from parsed where coalesce(action_geo_country, '') <> '' group by 1, 2"))
 def streaming_ingest(spark, d):
-    """Landed lines in several files, taken two files at a time."""
-    from tidewatch.plans.fixtures import raw_events
-
-    landed, out, raw = scratch(spark), scratch(spark), raw_events(spark, d)
-    raw.select(F.concat_ws("\t", *[F.coalesce(F.col(c), F.lit("")) if c in raw.columns else F.lit("") for c in readers.V1_COLUMNS]).alias("line")).repartition(4, "line").write.text(landed)
-    jobs.ingest(jobs.event_lines(spark, landed, 2), out, scratch(spark), scratch(spark)).awaitTermination()
+    """Landed lines in four files, taken two files at a time; so many times both as the events are of ``LANDED_EVENTS``."""
+    landed, out = scratch(spark), scratch(spark)
+    times = max(1, -(-table(spark, d, "events").count() // LANDED_EVENTS))
+    sinks.land_lines(_lines(spark, d, readers.V1_COLUMNS).repartition(4 * times, "line"), landed)
+    jobs.ingest(jobs.event_lines(spark, landed, 2 * times), out, scratch(spark), scratch(spark)).awaitTermination()
     return History(spark, out).read().select("global_event_id", "event_date")
 
 
@@ -1204,7 +1207,7 @@ def latest_first(spark, d):
     """Files landed in three writes, taken eight at a time, the newest first."""
     landed, out = scratch(spark), scratch(spark)
     for part in range(3):
-        _lines(spark, d, readers.V1_COLUMNS).filter(F.pmod(F.xxhash64("line"), F.lit(3)) == part).write.mode("append").text(landed)
+        sinks.land_lines(_lines(spark, d, readers.V1_COLUMNS).filter(F.pmod(F.xxhash64("line"), F.lit(3)) == part), landed)
     jobs.ingest(jobs.event_lines(spark, landed, 8, latest_first=True), out, scratch(spark), scratch(spark)).awaitTermination()
     return History(spark, out).read().select("global_event_id", "event_date")
 

@@ -99,5 +99,10 @@ def write_lines(lines: DataFrame, path: str, rows: int = 250_000) -> None:
     lines.write.option("compression", "gzip").option("maxRecordsPerFile", rows).text(path)
 
 
+def land_lines(lines: DataFrame, path: str) -> None:
+    """Gzipped text added to a stream's folder, one file by partition, as a batch is so many files; a task reads a file whole."""
+    lines.write.mode("append").option("compression", "gzip").text(path)
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
